@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import exact_dedup as exact
-from logsift.llm import pii
+from logsift.llm import minhash, packing, pii
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(), capacity=4096, end_id=1)
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), minhash.Near(shingle=3, percent=85))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -25,7 +39,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(*base), 256).alias("base_sha256"), pii.span_list(*every).alias("spans"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op7_pii": op7_pii}
+QUERIES = {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op7_pii": op7_pii}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL = {
