@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import exact_dedup as exact
-from logsift.llm import minhash, packing, pii
+from logsift.llm import minhash, mixing, packing, pii, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_sizes")[0].alias("source_size"),
+        F.col("mix_targets")[0].alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
+    )
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=400).drop("kept")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_documents(spark, sf_dir).select("doc_id", "text"))
     base = [F.col(f"pii_{k}") for k in pii.BASE]
@@ -39,7 +51,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(*base), 256).alias("base_sha256"), pii.span_list(*every).alias("spans"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op7_pii": op7_pii}
+QUERIES = {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL = {
@@ -47,4 +59,21 @@ ORACLE_SQL = {
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UP}', '{_LOW}')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+    "op5_mixing": r"""
+WITH d AS (SELECT doc_id, source, md5('42:' || doc_id) AS k,
+       CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER r AS i, sum(n) OVER () - (sum(3 * n) OVER r - 3 * n) AS room,
+             sum(w) OVER () - (sum(w) OVER r - w) AS shared
+      FROM s WINDOW r AS (ORDER BY 3 * n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT i AS first_free, CAST(room AS DOUBLE) / CAST(shared AS DOUBLE) AS unit FROM o
+      WHERE w * (CAST(room AS DOUBLE) / CAST(shared AS DOUBLE)) <= 3 * n ORDER BY i LIMIT 1),
+t AS (SELECT source, n, CASE WHEN i < first_free THEN CAST(3 * n AS DOUBLE) ELSE w * unit END AS target FROM o, f),
+c AS (SELECT d.*, n, target, CAST(floor(target) AS BIGINT) AS flow,
+             sum(size) OVER (PARTITION BY d.source ORDER BY k, size) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(size * (flow // greatest(n, 1) + CASE WHEN upto <= flow % greatest(n, 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c""",
 }
