@@ -117,6 +117,15 @@ def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams array<long>")
 
 
+def _cores(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, size, core): the size of an id's set, and how many of its shingles another of the ids has too."""
+    sets = materialize(_full_sets(texts.join(broadcast_if_small(ids), "id", "left_semi"), shingle))
+    own = sets.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    own = own.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sized = sets.groupBy("id").agg(F.max(F.size("grams")).alias("size"))
+    return materialize(sized.join(own, "id", "left").select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("core")))
+
+
 def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs.
 
@@ -126,7 +135,8 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
 
     Rows of equal sets become one node first, so copies are never compared. Then, in each band's bucket, all are
     compared with one member; where a bucket still holds several components, with another member for each band; where
-    it still does, each member outside the bucket's largest component is compared with all of other components. No bucket is
+    it still does, each member outside the bucket's largest component is compared with all of other components, but for
+    pairs which cannot reach the limit even if they share all shingles that any other of these rows has. No bucket is
     capped. A row without words (or with a null text) links with nothing. Rows of a null id link with nothing, have a
     null component_id and are kept. Rows of one id count as one document. Extra columns are ignored; an empty table
     gives an empty one.
@@ -167,10 +177,13 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
     if not open_.isEmpty():
         sizes = open_.groupBy("key", "component").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-        outside = open_.join(main, "key").where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-        others = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        asked = outside.join(others, "key").where("ca <> cb").select("a", "b")
-        links = materialize(links.unionByName(compare(asked)))
+        sized = open_.join(broadcast_if_small(_cores(texts, materialize(open_.select(F.col("node").alias("id")).distinct()), p.shingle)), F.col("node") == F.col("id"))
+        outside = sized.join(broadcast_if_small(materialize(main)), "key").where("component <> main")
+        outside = outside.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("core").alias("ka"))
+        others = sized.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("core").alias("kb"))
+        most = F.least("ka", "kb")  # shingles that the two can share
+        asked = outside.join(others, "key").where((F.col("ca") != F.col("cb")) & (100 * most >= p.percent * (F.col("sa") + F.col("sb") - most)))
+        links = materialize(links.unionByName(compare(asked.select("a", "b"))))
 
     labels = connected_components(links)
     named = nodes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import exact_dedup as exact
-from logsift.llm import minhash, mixing, packing, pii, suffix_dedup
+from logsift.llm import language_id, minhash, mixing, packing, pii, quality_resample, quality_rules, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,28 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(*base), 256).alias("base_sha256"), pii.span_list(*every).alias("spans"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.learn(docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
+    return quality_resample.resample(_documents(spark, sf_dir).select("doc_id", "text"), good.select("doc_id"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality_rules": op8_quality_rules, "op9_language_id": op9_language_id, "op10_quality_classifier": op10_quality_classifier}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL = {
