@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import exact_dedup as exact
-from logsift.llm import language_id, minhash, mixing, packing, pii, quality_resample, quality_rules, suffix_dedup
+from logsift.llm import language_id, line_dedup, minhash, mixing, packing, pii, quality_resample, quality_rules, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(), capacity=4096, end_id=1)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), minhash.Near(shingle=3, percent=85))
 
@@ -72,7 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_resample.resample(_documents(spark, sf_dir).select("doc_id", "text"), good.select("doc_id"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality_rules": op8_quality_rules, "op9_language_id": op9_language_id, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality_rules": op8_quality_rules, "op9_language_id": op9_language_id, "op10_quality_classifier": op10_quality_classifier}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL = {
