@@ -1,9 +1,67 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, in stages whose outputs are written and read again.
+
+Language identification rejects texts without a clear language, line dedup drops repeated lines, MinHash near-dedup keeps
+one document of each group, mixing repeats or skips documents until each source is near its target, and packing lays out
+what is left in token sequences.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logsift.llm import language_id, line_dedup, minhash, mixing, packing
+from logsift.llm.common import broadcast_if_small, materialize
+from logsift.llm.queries import tokenizer_file
+
+#: SQL for the rows of run(): no SQL expresses the classifier, the tokenizer or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is clearly in one of the languages that the rows with a language teach; null or letterless
+    texts go."""
+    model = language_id.learn(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = language_id.identify(docs, model)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("ambiguous")).select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that are equal or near to a line which stays; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    found = minhash.near_duplicates(docs, minhash.Near(shingle=5, percent=80))
+    gone = materialize(found.where("NOT kept").select("doc_id").distinct())
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: a row for each repetition."""
+    mixed = mixing.mix_sources(docs).where("mix_copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document and its place in a sequence of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_file(), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", drop_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("mix_sources", mix),
+    ("pack", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else materialize(docs), sf_dir)
+    return docs
