@@ -281,12 +281,10 @@ def fit_one_class(x: np.ndarray, nu: float = 0.05, features: int = 256, seed: in
 
 def score_batches(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray], x: str = "x") -> DataFrame:
     """rows with err = score of the batch's matrix, in Arrow batches on the executors."""
-    held = rows.sparkSession.sparkContext.broadcast(score)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(err=held.value(np.array(b[x].tolist(), float)))
+                yield b.assign(err=score(np.array(b[x].tolist(), float)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{fields}, err double")
@@ -294,7 +292,6 @@ def score_batches(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray], x:
 
 def run_grid(spark, configs: list[dict], work: Callable[[dict], dict], schema: str) -> DataFrame:
     """One task for each configuration; work gets a configuration and returns a row."""
-    held = spark.sparkContext.broadcast(work)
     rows = spark.createDataFrame([(i, repr(c)) for i, c in enumerate(configs)], "id int, config string").repartition(max(1, len(configs)), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,7 +299,7 @@ def run_grid(spark, configs: list[dict], work: Callable[[dict], dict], schema: s
 
         for b in batches:
             for c in b.config:
-                yield pd.DataFrame([held.value(ast.literal_eval(c))])
+                yield pd.DataFrame([work(ast.literal_eval(c))])
 
     return rows.mapInPandas(run, schema)
 

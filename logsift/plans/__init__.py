@@ -5,8 +5,8 @@ from __future__ import annotations
 
 def registered() -> tuple[dict, dict]:
     """All queries and their SQL, by name."""
-    from logsift.plans import modelling, relational
+    from logsift.plans import detectors, modelling, relational
     from logsift.plans.registry import QUERIES, SQL
 
-    assert modelling and relational
+    assert detectors and modelling and relational
     return QUERIES, SQL

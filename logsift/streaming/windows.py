@@ -11,9 +11,10 @@ from logsift.session import configured, shared_dir
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table (a file or a folder of files) as a stream of its files."""
     schema = spark.read.parquet(path).schema
-    return configured(spark).readStream.schema(schema).parquet(path)
+    one = f"{path[:-1]}[{path[-1]}]"  # as a pattern, which a stream takes for a single file too
+    return configured(spark).readStream.schema(schema).parquet(one)
 
 
 def with_time(stream: DataFrame, late: str, ts: str = "ts") -> DataFrame:
