@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.session import materialize, shared_dir
+
+__all__ = ["materialize", "shared_dir"]
+
 #: Rows of at most a few numbers each that are broadcast without hesitation (about 32 MB).
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (as in tests) a folder of our own is made and set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks df for broadcast only if it has at most max_rows rows; else a join of it shuffles. df must be materialized."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: it survives lost executors and is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tidy(run: Callable) -> Callable:
+    """run, an Arrow batch function, which at its end gives back the memory that the worker no longer uses: the worker
+    stays for later tasks, beside an executor that may then need it."""
 
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # elsewhere than in the GNU C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast only if it has at most max_rows rows; else a join of it shuffles. df must be materialized."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return tidied
 
 
 def ascii_lower(text: Column) -> Column:
