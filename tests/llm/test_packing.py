@@ -65,3 +65,14 @@ def test_lengths_that_do_not_combine():
     got = configurations(np.array([3000, 4096]), np.array([5, 2]), 4096, 10)
     assert sum(n for n, _ in got) == 7
     assert configurations(np.array([], np.int64), np.array([], np.int64), 4096, 10) == []
+
+
+def test_blocks_without_new_words():
+    from pathlib import Path
+
+    from logsift.llm.packing import _Encoder
+
+    encode = _Encoder(Path(tokenizer_file()).read_text())
+    data, at = np.frombuffer(b"the cat the", np.uint8), np.array([0, 11])
+    first, again = encode(data, at), encode(data, at)
+    assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist() == [3]
