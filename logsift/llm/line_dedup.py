@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import broadcast_if_small, materialize
 from logsift.llm.components import connected_components
 
-#: Shingles are the 12 characters from each word's start, and from every twelfth character of a longer word.
+#: Shingles of sparse(): the 12 characters from each word's start, and from every twelfth character of a longer word.
 SHINGLE = r"(?s)(?=(\S.{0,11}))\S{1,12}\s*"
+#: Shingles of dense(): LENGTH characters from every character. They are cut from pieces that begin every STEP characters
+#: and run on as far as the last of their shingles, so that finding a place does not walk a long line from its start.
+LENGTH, STEP = 9, 64
+PIECE = rf"(?s)(?=(\A.{{1,{LENGTH - 1}}}\z|.{{{LENGTH},{STEP + LENGTH - 1}}})).{{1,{STEP}}}"
 #: Least intersection per union, in percent. A pair at the limit shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS,
 #: 0.997.
 PERCENT, BANDS, ROWS = 80, 8, 3
@@ -17,8 +23,16 @@ PERCENT, BANDS, ROWS = 80, 8, 3
 LIST_ROWS = 200_000
 
 
-def _shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+def sparse(line: Column) -> Column:
+    """Hashes of shingles at word starts."""
+    return F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))
+
+
+def dense(line: Column) -> Column:
+    """Hashes of the shingles at every character; a shorter line is its only shingle."""
+    starts = lambda p: F.sequence(F.lit(1), F.greatest(F.length(p) - LENGTH + 1, F.lit(1)))
+    cut = lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(LENGTH))))
+    return F.flatten(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(1)), cut))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -28,18 +42,21 @@ def _lines(texts: DataFrame) -> DataFrame:
     return out.withColumns({"l1": F.xxhash64("norm"), "l2": F.xxhash64(F.lit("line"), "norm")})
 
 
-def _verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of line names whose full shingle sets reach the limit."""
+def _verified(asked: DataFrame, sets: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
+    """Those pairs (a, b) of line names whose full shingle sets reach the limit. Texts are shuffled, not their larger sets;
+    pairs whose sets differ too much in size to reach it need no comparison."""
     asked = materialize(asked.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = asked.join(sets.select(F.col("l1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("l1").alias("b"), F.col("s").alias("sb")), "b")
-    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return materialize(both.where(100 * common >= PERCENT * (total - common)).select("a", "b"))
+    both = asked.join(sets.select(F.col("l1").alias("a"), F.col("n").alias("na"), F.col("norm").alias("ta")), "a")
+    both = both.join(sets.select(F.col("l1").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")), "b")
+    both = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    common = F.size(F.array_intersect(shingles(F.col("ta")), shingles(F.col("tb"))))
+    return materialize(both.where((100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
-def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def _rarest(open_: DataFrame, sets: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
     """open_ with n, the size of a line's set, core, how many of it others have too, and rare, its rarest of those.
     Two lines whose sets reach the limit have one of these in common: fewer than the rest could not hold what they share."""
-    held = sets.join(broadcast_if_small(open_.select("l1")), "l1", "left_semi").select("l1", F.size("s").alias("n"), F.explode("s").alias("g"))
+    held = sets.join(broadcast_if_small(open_.select("l1")), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("g"))
     many = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))  # a line's shingles
     own = F.col("n") - F.col("core")
@@ -47,7 +64,7 @@ def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return open_.join(ranked.select("l1", "n", "core", F.transform(first, lambda x: x["g"]).alias("rare")), "l1")
 
 
-def _links(named: DataFrame, lines: DataFrame) -> DataFrame:
+def _links(named: DataFrame, lines: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
     """Verified links between different lines. Each bucket's lines are compared with its least one, and where that
     leaves several components, with another one. Of the lines in buckets which still hold several, those that share a rare
     shingle are compared: each one outside the largest component that has the shingle with all of other components that
@@ -57,8 +74,8 @@ def _links(named: DataFrame, lines: DataFrame) -> DataFrame:
     members = materialize(keyed.join(broadcast_if_small(shared), "key"))
     held = broadcast_if_small(materialize(members.select("l1").distinct()))
     found = lines.select("l1", "l2", "norm").join(held, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("norm").alias("norm"))
-    sets = materialize(found.select("l1", F.array_distinct(F.transform(_shingles(F.col("norm")), lambda s: F.xxhash64(s))).alias("s")))
-    links = _verified(members.select(F.col("l1").alias("a"), F.col("low").alias("b")), sets)
+    sets = materialize(found.select("l1", F.size(F.array_distinct(shingles(F.col("norm")))).alias("n"), "norm"))
+    links = _verified(members.select(F.col("l1").alias("a"), F.col("low").alias("b")), sets, shingles)
 
     def still_open(links: DataFrame, members: DataFrame) -> DataFrame:
         """Members of buckets that hold several components, with their component."""
@@ -73,11 +90,11 @@ def _links(named: DataFrame, lines: DataFrame) -> DataFrame:
     by = F.xxhash64("key", "l1")
     pivots = open_.groupBy("key").agg(F.min_by("l1", by).alias("b"), F.min_by("c", by).alias("of"))
     asked = open_.join(broadcast_if_small(materialize(pivots)), "key").where("c <> of").select(F.col("l1").alias("a"), "b")
-    links = materialize(links.unionByName(_verified(asked, sets)))
+    links = materialize(links.unionByName(_verified(asked, sets, shingles)))
     open_ = materialize(still_open(links, open_).select("l1", "c").distinct())
     if open_.isEmpty():
         return links
-    open_ = materialize(_rarest(open_, sets)).select("l1", "c", "n", "core", "rare", F.posexplode("rare").alias("pos", "key"))
+    open_ = materialize(_rarest(open_, sets, shingles)).select("l1", "c", "n", "core", "rare", F.posexplode("rare").alias("pos", "key"))
     main = open_.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("components"))
     main = broadcast_if_small(materialize(main.where("components > 1").drop("components")))
     open_ = materialize(open_.join(main, "key"))
@@ -87,14 +104,14 @@ def _links(named: DataFrame, lines: DataFrame) -> DataFrame:
     most = F.least(F.col("a.core") - F.col("a.pos"), F.col("b.core") - F.col("b.pos"))
     apart = (F.col("a.c") != F.col("b.c")) & (100 * most >= PERCENT * (F.col("a.n") + F.col("b.n") - most))
     asked = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & ~earlier).select(F.col("a.l1").alias("a"), F.col("b.l1").alias("b"))
-    return links.unionByName(_verified(asked, sets))
+    return links.unionByName(_verified(asked, sets, shingles))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: Callable[[Column], Column] = sparse) -> DataFrame:
     """docs with each line dropped that is equal or near to another one which stays; adds n_lines and n_dropped.
 
     Lines are parts between newlines; they are compared without regard to case and outer white space. Equal
-    lines are one node; different ones are linked if their shingle sets reach PERCENT; of each connected component the
+    lines are one node; different ones are linked if their shingle sets (dense or sparse) reach PERCENT; of each connected component the
     occurrence with the smallest (id, text hash, position) stays, null ids last. Lines without a word always stay. Rows of
     equal id and text keep the same lines. A null text stays null and has no lines; a text that loses all its lines is
     empty. All rows and other columns stay, columns of those names are replaced; an empty table gives an empty one.
@@ -106,14 +123,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     place = F.struct(F.col("id").isNull().alias("no"), "id", "uid", "pos")
     distinct = lines.groupBy("l1", "l2").agg(F.first("norm").alias("norm"), F.min(place).alias("at"), F.count("*").alias("n"))
-    rows = distinct.select("l1", "l2", "at.*", "n", F.explode(_shingles(F.col("norm"))).alias("s")).withColumn("h", F.xxhash64("s"))
+    rows = distinct.select("l1", "l2", "at.*", "n", F.explode(shingles(F.col("norm"))).alias("h"))
     same = ["l1", "l2", "no", "id", "uid", "pos", "n"]
     halves = [g for k in range(BANDS * ROWS // 2) for h in [F.xxhash64("h", F.lit(k))] for g in (F.shiftright(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
     signed = rows.groupBy(*same).agg(*[F.min(h).alias(f"m{k}") for k, h in enumerate(halves)])
     keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)])
     named = materialize(signed.select(*same, keys.alias("keys")))
 
-    labels = materialize(connected_components(_links(named, lines))).withColumnRenamed("node", "l1")
+    labels = materialize(connected_components(_links(named, lines, shingles))).withColumnRenamed("node", "l1")
     place = F.struct("no", "id", "uid", "pos")
     linked = materialize(named.join(broadcast_if_small(labels), "l1").select("l1", "l2", "component", place.alias("at")))
     kept = linked.groupBy("component").agg(F.min("at").alias("owner"))

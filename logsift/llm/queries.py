@@ -24,7 +24,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), shingles=line_dedup.dense).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
