@@ -250,8 +250,8 @@ def feat_w2v_fit(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import Word2Vec
 
     seqs = sequences.collect_sequences(sequences.tumbling(log_events(spark, d), 604_800), ["node", "window_id"], ["ts_s", "line_id"])
-    seqs = seqs.orderBy("node", "window_id").limit(FIT_ROWS).coalesce(1)
-    fitted = Word2Vec(vectorSize=32, windowSize=5, minCount=1, seed=42, numPartitions=1, maxIter=1, inputCol="events", outputCol="v").fit(seqs)
+    parts = spark.sparkContext.defaultParallelism
+    fitted = Word2Vec(vectorSize=32, windowSize=5, minCount=1, seed=42, numPartitions=parts, maxIter=1, inputCol="events", outputCol="v").fit(seqs)
     return fitted.getVectors().select("word", F.size(_vector_array("vector")).alias("dims"))
 
 
