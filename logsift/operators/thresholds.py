@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,26 +102,49 @@ def nth_largest(df: DataFrame, n: int, col: str = "err") -> float | None:
     return row[0]
 
 
-def fit_pareto(excess: np.ndarray) -> tuple[float, float]:
-    """(shape, scale) of a generalized Pareto distribution by maximum likelihood: Grimshaw's profile over one parameter."""
-    x = np.sort(excess)
-    grid = np.concatenate([-(1 - np.logspace(-6, -0.01, 200)) / x[-1], np.logspace(-4, 2, 400) / x.mean()])
-    shape = np.array([np.log1p(g * x).mean() for g in grid])
+def pareto_grid(largest: float, mean: float) -> np.ndarray:
+    """Values of shape / scale that the profile is taken at."""
+    return np.concatenate([-(1 - np.logspace(-6, -0.01, 200)) / largest, np.logspace(-4, 2, 400) / mean])
+
+
+def best_pareto(grid: np.ndarray, shape: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) where the profile likelihood is greatest; shape: the mean of log1p(g * x) for each g of the grid."""
     with np.errstate(divide="ignore", invalid="ignore"):
         like = -np.log(np.where(grid * shape > 0, shape / grid, np.nan)) - shape - 1
     k = int(np.nanargmax(like))
     return float(shape[k]), float(shape[k] / grid[k])
 
 
-def pot_mle(df: DataFrame, p: float = 0.05, q: float = 0.9, most: int = 100_000, col: str = "err") -> float:
-    """POT by maximum likelihood on at most ``most`` of the excesses over the q-quantile (the ones of smallest id hash);
-    what cannot be fitted falls back to the (1 - p) quantile."""
+def fit_pareto(excess: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) of a generalized Pareto distribution by maximum likelihood: Grimshaw's profile over one parameter."""
+    grid = pareto_grid(excess.max(), excess.mean())
+    return best_pareto(grid, np.array([np.log1p(g * excess).mean() for g in grid]))
+
+
+def log1p_sums(df: DataFrame, grid: np.ndarray, col: str) -> np.ndarray:
+    """Sum of log1p(g * col) over all rows for each g; a task adds up its own."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(grid))
+        for b in batches:
+            x = b[col].to_numpy()
+            total += [np.log1p(g * x).sum() for g in grid]
+        yield pd.DataFrame({"k": np.arange(len(grid)), "v": total})
+
+    made = df.select(col).mapInPandas(add, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    return made.toPandas().sort_values("k").v.to_numpy()  # a number for each g
+
+
+def pot_mle(df: DataFrame, p: float = 0.05, q: float = 0.9, col: str = "err") -> float:
+    """POT by maximum likelihood on all excesses over the q-quantile; what cannot be fitted falls back to the (1 - p)
+    quantile."""
     u = percentile(df, q, col)
-    n, over = df.agg(F.count(col), F.count(F.when(F.col(col) > u, 1))).first()
-    rows = df.where(F.col(col) > u).orderBy(F.xxhash64("seq_id")).limit(most).select((F.col(col) - u).alias("x")).collect()
-    if len(rows) < 10:
+    n = df.agg(F.count(col)).first()[0]
+    excess = df.where(F.col(col) > u).select((F.col(col) - u).alias("x"))
+    over, largest, mean = excess.agg(F.count("x"), F.max("x"), F.avg("x")).first()
+    if over < 10:
         return percentile(df, 1 - p, col)
-    xi, beta = fit_pareto(np.array([r["x"] for r in rows]))
+    grid = pareto_grid(largest, mean)
+    xi, beta = best_pareto(grid, log1p_sums(excess, grid, "x") / over)
     if not math.isfinite(xi) or beta <= 0:
         return percentile(df, 1 - p, col)
     return u + beta * math.log(over / (n * p)) if abs(xi) < 1e-9 else u + beta / xi * ((over / (n * p)) ** xi - 1)

@@ -2,6 +2,10 @@
 
 import datetime
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from logsift.operators import thresholds
 from logsift.plans import registered
 
 QUERIES, _ = registered()
@@ -14,3 +18,13 @@ def test_word_vectors_know_the_tokens_of_the_last_node(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     got = {r["word"] for r in QUERIES["feat_w2v_fit"](spark, str(tmp_path)).collect()}
     assert got == {f"seen_{k}" for k in range(6)} | {f"rare_{5_100 % 100 % 6}"}
+
+
+def test_pareto_tail_is_fitted_on_every_excess(spark):
+    rows = spark.range(0, 1_050_000, 1, 8).select(F.col("id").alias("seq_id"), (F.pow(1 - (F.col("id") + 0.5) / 1_050_000, F.lit(-0.3)) - 1).alias("err"))
+    x = np.array([r["err"] for r in rows.select("err").toLocalIterator()])
+    u = np.quantile(x, 0.9)
+    e = x[x > u] - u
+    assert len(e) > 100_000
+    xi, beta = thresholds.fit_pareto(e)
+    assert abs(thresholds.pot_mle(rows) - (u + beta / xi * ((len(e) / (len(x) * 0.05)) ** xi - 1))) < 1e-9
