@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.features import dot, minus, norm, vector_mean
+from logsift.session import materialize
 
 
 def array(values: object) -> Column:
@@ -124,6 +125,144 @@ def fit_rpca(x: np.ndarray, k: int = 9, scale: float = 1.0, center: bool = False
     return Subspace(mean, vt[:k], s**2)
 
 
+#: Steps of a decomposition of partitioned rows that are replayed from the last written state.
+REPLAY = 25
+
+
+def _matrix(b: pd.DataFrame, col: str, d: int) -> np.ndarray:
+    return np.array(b[col].tolist(), float).reshape(-1, d)
+
+
+def _sums(rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """Sum of a vector over all batches; a task adds up its own."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                v = of(b)
+                total = v if total is None else total + v
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+    made = rows.mapInPandas(add, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    return made.toPandas().sort_values("k").v.to_numpy()
+
+
+def _alm_step(m: np.ndarray, s: np.ndarray, y: np.ndarray, shrink: np.ndarray, mu: float, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, sparse, multiplier, rest) of rows after a step; each row needs the d by d matrix only."""
+    low = (m - s + y / mu) @ shrink
+    s = soft(m - low + y / mu, lam / mu)
+    rest = m - low - s
+    return low, s, y + mu * rest, rest
+
+
+@dataclass
+class RowDecomposition:
+    """What robust_pca_rows found; parts() has its rows."""
+
+    state: DataFrame
+    steps: list[tuple[np.ndarray, float]]
+    mean: np.ndarray
+    lam: float
+    iterations: int
+    error: float
+    rank: int
+
+    def gram_of_low(self) -> np.ndarray:
+        d, steps, lam = len(self.mean), self.steps, self.lam
+
+        def of(b: pd.DataFrame) -> np.ndarray:
+            low = _replay(b, steps, d, lam)[1]
+            return (low.T @ low).ravel()
+
+        return _sums(self.state, of).reshape(d, d)
+
+    def sparse_cells(self, least: float = 1e-6) -> int:
+        d, steps, lam = len(self.mean), self.steps, self.lam
+        return int(_sums(self.state, lambda b: np.array([float((np.abs(_replay(b, steps, d, lam)[2]) > least).sum())]))[0])
+
+    def sparse_norms(self) -> DataFrame:
+        """The rows' other columns with err, the length of the sparse part."""
+        d, steps, lam = len(self.mean), self.steps, self.lam
+        return score_rows(self.state, lambda b: np.linalg.norm(_replay(b, steps, d, lam)[2], axis=1)).drop("_m", "_s", "_z")
+
+
+def _replay(b: pd.DataFrame, steps: list[tuple[np.ndarray, float]], d: int, lam: float) -> tuple[np.ndarray, ...]:
+    """(m, low, sparse, multiplier, rest) of a batch of state rows after the steps."""
+    m, s, y = (_matrix(b, c, d) for c in ("_m", "_s", "_z"))
+    low = rest = np.zeros_like(m)
+    for shrink, mu in steps:
+        low, s, y, rest = _alm_step(m, s, y, shrink, mu, lam)
+    return m, low, s, y, rest
+
+
+def robust_pca_rows(rows: DataFrame, scale: float = 1.0, center: bool = False, tol: float = 1e-7, most: int = 500, x: str = "x") -> RowDecomposition:
+    """robust_pca of all rows where they are. A step needs the d by d Gram matrix of what it shrinks, whose eigenvectors the
+    driver takes; rows are shrunk in their tasks. State is written every REPLAY steps, and replayed from there."""
+    n, sums, g = gram(rows, x)
+    d = len(sums)
+    mean = sums / n if center else np.zeros(d)
+    g = g - n * np.outer(mean, mean)
+    lam, size, top = scale / np.sqrt(max(n, d)), float(np.sqrt(max(np.trace(g), 0))), float(np.sqrt(max(np.linalg.eigvalsh(g)[-1], 0)))
+    others = [c for c in rows.columns if c != x]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != x)
+    schema = f"{fields + ', ' if fields else ''}_m array<double>, _s array<double>, _z array<double>"
+
+    def written(df: DataFrame, of: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield b[others].assign(**{c: list(v) for c, v in zip(("_m", "_s", "_z"), of(b), strict=True)})
+
+        return materialize(df.mapInPandas(run, schema))
+
+    largest = rows.select(F.max(F.array_max(F.zip_with(x, array(mean), lambda v, c: F.abs(v - c))))).first()[0]
+
+    def begin(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = _matrix(b, x, d) - mean
+        return m, np.zeros_like(m), m / max(top, largest / lam) if size else m
+
+    state, steps = written(rows, begin), []
+    if size == 0:
+        return RowDecomposition(state, [], mean, lam, 0, 0.0, 0)
+    mu = 1.25 / top
+    bound = mu * 1e7
+
+    def gram_after(steps: list, mu: float) -> tuple[np.ndarray, float]:
+        """Gram matrix of m - s + y / mu after the steps, and what is left of m after them."""
+        def of(b: pd.DataFrame) -> np.ndarray:
+            m, _, s, y, rest = _replay(b, steps, d, lam)
+            a = m - s + y / mu
+            return np.append((a.T @ a).ravel(), (rest**2).sum())
+
+        got = _sums(state, of)
+        return got[:-1].reshape(d, d), float(np.sqrt(got[-1]) / size)
+
+    g, _ = gram_after(steps, mu)
+    for k in range(1, most + 1):
+        values, vectors = np.linalg.eigh(g)
+        s = np.sqrt(np.maximum(values, 0))
+        held = np.maximum(s - 1 / mu, 0)
+        rank = int((held > 1e-6).sum())
+        steps = [*steps, ((vectors * np.divide(held, s, out=np.zeros(d), where=s > 0)) @ vectors.T, mu)]
+        mu = min(mu * 1.5, bound)
+        g, error = gram_after(steps, mu)
+        if error < tol or k == most:
+            break
+        if len(steps) == REPLAY:
+            state = written(state, lambda b, steps=steps: (lambda r: (r[0], r[2], r[3]))(_replay(b, steps, d, lam)))
+            steps = []
+    return RowDecomposition(state, steps, mean, lam, k, error, rank)
+
+
+def fit_rpca_rows(rows: DataFrame, k: int = 9, scale: float = 1.0, center: bool = False) -> Subspace:
+    """fit_rpca of all rows where they are."""
+    found = robust_pca_rows(rows, scale, center)
+    values, vectors = np.linalg.eigh(found.gram_of_low())
+    order = np.argsort(values)[::-1]
+    return Subspace(found.mean, vectors[:, order[:k]].T, np.maximum(values[order], 0))
+
+
 # --- autoencoder ---------------------------------------------------------------------------------------------
 
 
@@ -281,10 +420,15 @@ def fit_one_class(x: np.ndarray, nu: float = 0.05, features: int = 256, seed: in
 
 def score_batches(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray], x: str = "x") -> DataFrame:
     """rows with err = score of the batch's matrix, in Arrow batches on the executors."""
+    return score_rows(rows, lambda b: score(np.array(b[x].tolist(), float)))
+
+
+def score_rows(rows: DataFrame, score: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """rows with err = score of the batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(err=score(np.array(b[x].tolist(), float)))
+                yield b.assign(err=score(b))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{fields}, err double")

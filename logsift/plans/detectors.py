@@ -170,10 +170,7 @@ def model_rpca_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("model_rpca_transductive")
 def model_rpca_transductive(spark: SparkSession, d: str) -> DataFrame:
-    rows = held_rows(spark, d).orderBy(F.xxhash64("seq_id")).limit(FIT_ROWS).collect()
-    rows = sorted(rows, key=lambda r: r["seq_id"])
-    err = np.linalg.norm(models.robust_pca(np.array([r["x"] for r in rows], float)).sparse, axis=1)
-    return spark.createDataFrame([(r["seq_id"], r["y"], round(float(e), 4)) for r, e in zip(rows, err, strict=True)], "seq_id long, y int, err double")
+    return rounded(models.robust_pca_rows(held_rows(spark, d)).sparse_norms())
 
 
 @query("model_ae_score")

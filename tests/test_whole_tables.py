@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from logsift.operators import thresholds
+from logsift.operators import models, thresholds
 from logsift.plans import registered
 
 QUERIES, _ = registered()
@@ -28,3 +28,24 @@ def test_pareto_tail_is_fitted_on_every_excess(spark):
     assert len(e) > 100_000
     xi, beta = thresholds.fit_pareto(e)
     assert abs(thresholds.pot_mle(rows) - (u + beta / xi * ((len(e) / (len(x) * 0.05)) ** xi - 1))) < 1e-9
+
+
+def test_decomposition_of_partitioned_rows_equals_numpy(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 12)) + np.where(rng.random((400, 12)) < 0.05, 10.0, 0.0)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "seq_id long, x array<double>").repartition(5)
+    for centre in (False, True):
+        want, got = models.robust_pca(m - m.mean(0) * centre), models.robust_pca_rows(rows, center=centre)
+        assert abs(got.iterations - want.iterations) <= 1 and got.rank == want.rank and got.error < 1e-7
+        assert got.sparse_cells(1e-3) == (np.abs(want.sparse) > 1e-3).sum()
+        assert np.allclose(got.gram_of_low(), want.low.T @ want.low, atol=1e-2)
+        err = [r["err"] for r in got.sparse_norms().orderBy("seq_id").collect()]
+        assert np.allclose(err, np.linalg.norm(want.sparse, axis=1), atol=1e-4)
+
+
+def test_transductive_scores_cover_every_held_row(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5_300, 2)) @ rng.normal(size=(2, 6))
+    rows = [(5 * i, [float(v) for v in r], 9 if i % 100 == 0 else 1) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["model_rpca_transductive"](spark, str(tmp_path)).select("seq_id").distinct().count() == 5_300
