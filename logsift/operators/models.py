@@ -181,6 +181,17 @@ class RowDecomposition:
         d, steps, lam = len(self.mean), self.steps, self.lam
         return int(_sums(self.state, lambda b: np.array([float((np.abs(_replay(b, steps, d, lam)[2]) > least).sum())]))[0])
 
+    def low_rows(self) -> DataFrame:
+        """(seq_id, x): the low-rank part."""
+        d, steps, lam = len(self.mean), self.steps, self.lam
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"seq_id": b.seq_id, "x": list(_replay(b, steps, d, lam)[1])})
+
+        return self.state.mapInPandas(run, "seq_id long, x array<double>")
+
     def sparse_norms(self) -> DataFrame:
         """The rows' other columns with err, the length of the sparse part."""
         d, steps, lam = len(self.mean), self.steps, self.lam

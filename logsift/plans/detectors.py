@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from logsift.plans.relational import CELLS_SQL, POS_SQL, cells
 from logsift.streaming import windows
 from logsift.views import EVENTS_SQL, SCORED_SQL, log_events, scored, session_labels, vec64
 
-#: Rows that a model which needs them together is fitted on, at most.
+#: Rows that the autoencoder, the forests and the one-class model are fitted on, at most.
 FIT_ROWS = 5_000
 
 # --- the flagship: event counts, unit length, residual against a fixed subspace, top 5 % -----------------------
@@ -130,42 +133,57 @@ def model_explained_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("model_rpca")
 def model_rpca(spark: SparkSession, d: str) -> DataFrame:
-    x = models.sample(normals(spark, d), FIT_ROWS)
-    found = models.robust_pca(x)
-    row = (found.iterations, found.rank, round(found.error, 9), int((np.abs(found.sparse) > 1e-6).sum()))
+    found = models.robust_pca_rows(normals(spark, d))
+    row = (found.iterations, found.rank, round(found.error, 9), found.sparse_cells())
     return spark.createDataFrame([row], "iterations long, rank long, error double, sparse_cells long")
 
 
 @query("model_rpca_score")
 def model_rpca_score(spark: SparkSession, d: str) -> DataFrame:
-    space = models.fit_rpca(models.sample(normals(spark, d), FIT_ROWS), 9)
+    space = models.fit_rpca_rows(normals(spark, d), 9)
     return rounded(held_rows(spark, d).withColumn("err", space.residual(F.col("x"))))
 
 
-def _f1(err: np.ndarray, y: np.ndarray, q: float = 0.95) -> float:
-    flag = err > np.quantile(err, q)
-    tp = int((flag & (y == 1)).sum())
-    return 2 * tp / max(1, int(flag.sum()) + int((y == 1).sum()))
+def _f1(rows: DataFrame, by: str, q: float = 0.95) -> DataFrame:
+    """(by, f1) of rows (by, y, err): those above the q-quantile of their group are flagged."""
+    cut = rows.groupBy(by).agg(F.percentile("err", F.lit(q)).alias("theta"))
+    flags = rows.join(F.broadcast(cut), by).withColumn("flag", (F.col("err") > F.col("theta")).cast("int"))  # a row for each configuration
+    return metrics.precision_recall(metrics.confusion(flags, [by])).select(by, "f1")
+
 
+def _graded(spark: SparkSession, d: str, score: Callable[[int, np.ndarray], np.ndarray], configs: list[dict], schema: str, digits: int) -> DataFrame:
+    """Configurations with their f1 over all held rows; score takes a configuration's number and a matrix."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = np.array(b.x.tolist(), float)
+            for i in range(len(configs) if len(b) else 0):
+                yield pd.DataFrame({"config": i, "y": b.y, "err": score(i, m)})
 
-def _matrix(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounded samples for grids: fit rows, test rows and the test rows' labels."""
-    test = held_rows(spark, d).orderBy(F.xxhash64("seq_id")).limit(FIT_ROWS).select("seq_id", "x", "y").collect()
-    test = sorted(test, key=lambda r: r["seq_id"])
-    return models.sample(normals(spark, d), 1000), np.array([r["x"] for r in test], float), np.array([r["y"] for r in test])
+    found = _f1(held_rows(spark, d).select("y", "x").mapInPandas(run, "config int, y int, err double"), "config")
+    named = spark.createDataFrame([(i, *c.values()) for i, c in enumerate(configs)], f"config int, {schema}")
+    return named.join(F.broadcast(found), "config").select(*configs[0], F.round("f1", digits).alias("f1"))  # a row for each
 
 
 @query("model_rpca_grid")
 def model_rpca_grid(spark: SparkSession, d: str) -> DataFrame:
-    fit, test, y = _matrix(spark, d)
+    """Fits of two sizes, which the grid is to compare; scores are of all held rows."""
+    fit = models.sample(normals(spark, d), 1000)
 
     def work(c: dict) -> dict:
         space = models.fit_rpca(fit[: c["rows"]], 9, c["scale"], c["center"])
-        z = test - space.mean
-        return c | {"f1": round(_f1(np.linalg.norm(z - z @ space.basis.T @ space.basis, axis=1), y), 6)}
+        return c | {"mean": space.mean.tolist(), "basis": space.basis.tolist()}
 
     grid = [{"scale": s, "center": c, "rows": n} for s in (0.8, 1.0, 1.2) for c in (False, True) for n in (250, 500)]
-    return models.run_grid(spark, grid, work, "scale double, center boolean, rows long, f1 double")
+    made = models.run_grid(spark, grid, work, "scale double, center boolean, rows long, mean array<double>, basis array<array<double>>").collect()
+    spaces = {(r["scale"], r["center"], r["rows"]): (np.array(r["mean"]), np.array(r["basis"])) for r in made}
+    ordered = [spaces[tuple(c.values())] for c in grid]
+
+    def residual(i: int, m: np.ndarray) -> np.ndarray:
+        mean, basis = ordered[i]
+        z = m - mean
+        return np.linalg.norm(z - z @ basis.T @ basis, axis=1)
+
+    return _graded(spark, d, residual, grid, "scale double, center boolean, rows long", 6)
 
 
 @query("model_rpca_transductive")
@@ -187,10 +205,9 @@ def model_iforest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("model_hybrid")
 def model_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    x = models.sample(normals(spark, d), FIT_ROWS)
-    low = models.robust_pca(x - x.mean(0)).low
+    found = models.robust_pca_rows(normals(spark, d), center=True)
+    low, mean = models.sample(found.low_rows(), FIT_ROWS), found.mean
     fitted = {"forest": models.fit_forest(low), "one_class": models.fit_one_class(low)}
-    mean = x.mean(0)
     out = None
     for name, m in fitted.items():
         rows = models.score_batches(held_rows(spark, d), lambda z, m=m: m.scores(z - mean)).select("seq_id", F.lit(name).alias("model"), F.round("err", 4).alias("err"))
@@ -198,13 +215,6 @@ def model_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _residuals_by_k(fit: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, s, vt = np.linalg.svd(fit - fit.mean(0), full_matrices=False)
-    z = test - fit.mean(0)
-    parts = z @ vt.T
-    return s, np.sqrt(np.maximum((z * z).sum(1)[:, None] - np.cumsum(parts**2, 1), 0))
-
-
 @query("sel_pca_k")
 def sel_pca_k(spark: SparkSession, d: str) -> DataFrame:
     """One decomposition for all k: errors are prefix sums of the squared coordinates."""
@@ -223,23 +233,33 @@ def sel_pca_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("diag_k_sweep")
 def diag_k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    fit, test, y = _matrix(spark, d)
-    _, errs = _residuals_by_k(fit, test)
-    found = models.robust_pca(fit[:500])
-    rows = [(k, round(_f1(errs[:, k - 1], y), 6), found.iterations, found.error < 1e-7, int((np.abs(found.sparse) > 1e-6).sum())) for k in range(2, 16)]
-    return spark.createDataFrame(rows, "k long, f1 double, iterations long, converged boolean, sparse_cells long")
+    space = models.fit_pca(normals(spark, d), 15)
+    found = models.robust_pca_rows(normals(spark, d))
+
+    def residual(i: int, m: np.ndarray) -> np.ndarray:
+        z, basis = m - space.mean, space.basis[: i + 2]
+        return np.linalg.norm(z - z @ basis.T @ basis, axis=1)
+
+    swept = _graded(spark, d, residual, [{"k": k} for k in range(2, 16)], "k long", 6)
+    values = {"iterations": found.iterations, "converged": found.error < 1e-7, "sparse_cells": found.sparse_cells()}
+    return swept.withColumns({c: F.lit(v) if c == "converged" else F.lit(v).cast("long") for c, v in values.items()})
 
 
 @query("sel_variant_grid")
 def sel_variant_grid(spark: SparkSession, d: str) -> DataFrame:
-    fit, test, y = _matrix(spark, d)
+    """Networks are fitted on 1,000 rows, one task for each; scores are of all held rows."""
+    fit = models.sample(normals(spark, d), 1000)
 
     def work(c: dict) -> dict:
         net = models.fit_autoencoder(fit, tuple(c["hidden"]), c["alpha"], c["seed"], epochs=20)
-        return {"hidden": "-".join(map(str, c["hidden"])), "alpha": c["alpha"], "seed": c["seed"], "f1": round(_f1(net.errors(test), y), 4)}
+        layers = [{"w": w.tolist(), "b": b.tolist()} for w, b in net.layers]
+        return {"hidden": "-".join(map(str, c["hidden"])), "alpha": c["alpha"], "seed": c["seed"], "mean": net.mean.tolist(), "layers": layers}
 
     grid = [{"hidden": h, "alpha": a, "seed": s} for h in ((16, 8, 16), (32, 16, 32)) for a in (1e-4, 1e-2) for s in (42, 43)]
-    return models.run_grid(spark, grid, work, "hidden string, alpha double, seed long, f1 double")
+    named = "hidden string, alpha double, seed long"
+    made = models.run_grid(spark, grid, work, f"{named}, mean array<double>, layers array<struct<w: array<array<double>>, b: array<double>>>").collect()
+    nets = [models.Network(np.array(r["mean"]), [(np.array(p["w"]), np.array(p["b"])) for p in r["layers"]]) for r in made]
+    return _graded(spark, d, lambda i, m: nets[i].errors(m), [{c: r[c] for c in ("hidden", "alpha", "seed")} for r in made], named, 4)
 
 
 @query("feat_w2v_fit")

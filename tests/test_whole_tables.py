@@ -49,3 +49,25 @@ def test_transductive_scores_cover_every_held_row(spark, tmp_path):
     rows = [(5 * i, [float(v) for v in r], 9 if i % 100 == 0 else 1) for i, r in enumerate(x)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["model_rpca_transductive"](spark, str(tmp_path)).select("seq_id").distinct().count() == 5_300
+
+
+def test_decomposition_and_grids_see_rows_beyond_the_samples(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(6_400, 2)) @ rng.normal(size=(2, 16))
+    x[rng.random(x.shape) < 0.02] += 9
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    rows += [(10_000_000 + 5 * i, [float(v) for v in r + (i % 40 == 0) * 30 * rng.normal(size=16)], 9 if i % 40 == 0 else 1) for i, r in enumerate(x[:5_200])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    single = np.array([np.float32(r) for i, r in enumerate(x) if i % 5], float)
+    want = models.robust_pca(single)
+    got = QUERIES["model_rpca"](spark, str(tmp_path)).first()
+    assert len(single) > 5_000 and got["rank"] == want.rank and abs(got["iterations"] - want.iterations) <= 1
+    assert abs(got["sparse_cells"] - (np.abs(want.sparse) > 1e-6).sum()) <= 50
+    test = np.array([np.float32(r[1]) for r in rows if r[2] == 9 or r[0] % 5 == 0], float)
+    y = np.array([r[2] == 9 for r in rows if r[2] == 9 or r[0] % 5 == 0])
+    assert len(test) > 5_000
+    z, p = test - single.mean(0), np.linalg.svd(single - single.mean(0), full_matrices=False)[2][:2]
+    err = np.linalg.norm(z - z @ p.T @ p, axis=1)
+    flag = err > np.quantile(err, 0.95)
+    f1 = {r["k"]: r["f1"] for r in QUERIES["diag_k_sweep"](spark, str(tmp_path)).collect()}
+    assert len(f1) == 14 and abs(f1[2] - 2 * (flag & y).sum() / (flag.sum() + y.sum())) < 2e-6
