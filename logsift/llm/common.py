@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,11 +91,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Runs of texts (first, last + 1) of about limit bytes, so that working memory follows limit and the longest text."""
+def pieces(offsets: np.ndarray, limit: int, rows: int = 1 << 30) -> list[tuple[int, int]]:
+    """Runs of texts (first, last + 1) of about limit bytes and of rows texts at most, so that working memory follows
+    these and the longest text."""
     out, a = [], 0
     while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1))
         out.append((a, b))
         a = b
     return out
@@ -114,8 +116,50 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The number that the 8 bytes from each place on make, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, eight bytes at a time through a mixing of all bits, or by BLAKE2 if they are long. There is no
+    sum of powers in it, which repetitive strings could cancel out; where equality decides alone, compare with same_bytes()."""
+    n, eights = ends - starts, _eights(data)
+    out = mix64(n.astype(np.uint64) + _BASE)
+    live = np.flatnonzero((n > 0) & (n <= LONG))
+    for k in range(0, LONG, 8):
+        live = live[n[live] > k]
+        if not len(live):
+            break
+        out[live] = mix64(out[live] ^ (eights[starts[live] + k] & _MASKS[np.minimum(n[live] - k, 8)]))
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, o_starts: np.ndarray, o_ends: np.ndarray) -> bool:
+    """Whether each span of data has the bytes of its counterpart in others."""
+    n = ends - starts
+    if not np.array_equal(n, o_ends - o_starts):
+        return False
+    mine, theirs = _eights(data), _eights(others)
+    live = np.flatnonzero(n <= LONG)
+    for k in range(0, LONG, 8):
+        live = live[n[live] > k]
+        if (((mine[starts[live] + k] ^ theirs[o_starts[live] + k]) & _MASKS[np.minimum(n[live] - k, 8)]) != 0).any():
+            return False
+    return all(np.array_equal(data[starts[i] : ends[i]], others[o_starts[i] : o_ends[i]]) for i in np.flatnonzero(n > LONG).tolist())
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums from which span_hash() takes the hash of any span of the bytes."""
+    """Sums from which span_hash() takes the hash of any span of the bytes. Different bytes can have equal hashes by their
+    form (Thue-Morse strings do): good to choose or to group, never to tell whether two spans are equal."""
     up, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])

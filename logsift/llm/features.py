@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, mix64, ngrams, pieces, prefix_hash, span_hash, text_bytes, tidy, word_spans
+from logsift.llm.common import LOWER, mix64, ngrams, pieces, text_bytes, tidy, word_hash, word_spans
 
-#: Bytes of text at a time.
-BLOCK = 1 << 19
+#: Bytes of text, and rows, at a time.
+BLOCK, BLOCK_ROWS = 1 << 19, 512
 #: Letters keep their lower-case byte, bytes of longer characters stay, all else counts as a blank.
 LETTERS = np.where((LOWER >= 97) & (LOWER <= 122) | (np.arange(256) >= 128), LOWER, 32).astype(np.uint8)
 
@@ -22,7 +22,7 @@ Block = tuple[int, np.ndarray, np.ndarray]
 def blocks(column: pa.Array) -> Iterator[Block]:
     """(first row, bytes, offsets) of some rows of a text column at a time; no text is cut."""
     data, offsets = text_bytes(column)
-    for a, b in pieces(offsets, BLOCK):
+    for a, b in pieces(offsets, BLOCK, BLOCK_ROWS):
         yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -48,7 +48,7 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
 def word_grams(data: np.ndarray, offsets: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of 1 to most successive words of a text, and that text."""
     starts, ends, texts = word_spans(data, offsets)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = word_hash(data, starts, ends)
     got = [ngrams(words, texts, n) for n in range(1, most + 1)]
     return np.concatenate([g for g, _ in got]), np.concatenate([t for _, t in got])
 

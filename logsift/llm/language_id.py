@@ -43,7 +43,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     rng, best, most = np.random.default_rng(seed), None, -1
     for _ in range(50):
         code = rng.choice([-1, 1], (n, 10 * (n - 1).bit_length()))
-        code = code[:, np.abs(code.sum(1 - 1)) < n]
+        code = code[:, np.abs(code.sum(0)) < n]
         apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
         if apart > most:
             best, most = code, apart

@@ -7,6 +7,7 @@ if the full shingle sets confirm it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, broadcast_if_small, materialize, mix64, ngrams, pieces, prefix_hash, span_hash, text_bytes, tidy, word_spans
+from logsift.llm.common import LOWER, SPACE, broadcast_if_small, materialize, mix64, ngrams, pieces, text_bytes, tidy, word_hash, word_spans
 from logsift.llm.components import connected_components
 
 
 #: Longs of one-bit coordinates, and how far the similarity that they estimate may fall short of the limit: at a
-#: similarity of 0.8 or 0.85 that is over four standard deviations, once in 100,000 linked pairs or less.
-WORDS, SLACK = 16, 0.08
+#: similarity of 0.8 or 0.85 that is over six standard deviations, less than once in a billion linked pairs, where the
+#: bands themselves lose 2 in 10 million and 4 in 100,000.
+WORDS, SLACK = 16, 0.12
 
 
 @dataclass(frozen=True)
@@ -35,13 +37,25 @@ class Near:
     rows: int = 5
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, sorted distinct shingle hashes of some texts one after the other, their n + 1 offsets)."""
+def word_sequences(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits (two rows of longs) that name each text's words in their order, whatever stands between them."""
+    inside = ~SPACE[raw]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # one blank after each word
+    at = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    joined, at = np.where(inside, raw, np.uint8(32))[keep].tobytes(), at[offsets].tolist()
+    digests = b"".join(hashlib.blake2b(joined[a:b].strip(b" "), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2).T
+
+
+def named_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, sorted distinct shingle hashes of some texts one after the other, their n + 1 offsets, word_sequences)."""
     data, offsets = text_bytes(column)
     for a, b in pieces(offsets, 1 << 19):
         raw, at = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         starts, ends, texts = word_spans(raw, at)
-        words = span_hash(prefix_hash(raw), starts, ends)
+        words = word_hash(raw, starts, ends)
         grams, owners = ngrams(words, texts, n)
         count = np.bincount(texts, minlength=b - a)
         for k in range(1, n):  # the whole sequence, of fewer words than a shingle
@@ -57,7 +71,11 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np
         sets = [np.unique(grams[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         out = np.zeros(b - a + 1, np.int64)
         np.cumsum([len(s) for s in sets], out=out[1:])
-        yield a, np.concatenate(sets) if sets else grams, out
+        yield a, np.concatenate(sets) if sets else grams, out, word_sequences(raw, at)
+
+
+def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return ((a, grams, offsets) for a, grams, offsets, _ in named_sets(column, n))
 
 
 def signatures(grams: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
@@ -81,19 +99,16 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.n
 
 
 def _sketched(docs: DataFrame, p: Near) -> DataFrame:
-    """(id, n, h1, h2, keys): the set's size, 128 bits that name it, and a key for each band (none for empty sets)."""
+    """(id, n, h1, h2, keys): the set's size, 128 bits that name the words, and a key for each band (none for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, grams, offsets in shingle_sets(batch.column(1), p.shingle):
+            for a, grams, offsets, names in named_sets(batch.column(1), p.shingle):
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
                 starts = offsets[:-1][some]
-                names = np.zeros((2, len(n)), np.uint64)
                 keys = np.zeros((len(some), p.bands), np.uint64)
                 if len(some):
-                    names[0, some] = np.add.reduceat(mix64(grams), starts)
-                    names[1, some] = np.add.reduceat(mix64(grams ^ np.uint64(0xD6E8FEB86659FD93)), starts)
                     signs = signatures(grams, np.append(starts, offsets[-1]), p.bands * p.rows).astype(np.uint64)
                     for band in range(p.bands):
                         key = np.full(len(some), np.uint64(band + 1))
@@ -103,7 +118,7 @@ def _sketched(docs: DataFrame, p: Near) -> DataFrame:
                 at = np.zeros(len(n) + 1, np.int32)
                 np.cumsum((n > 0) * p.bands, out=at[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), pa.array(n), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))],
+                    [batch.column(0).slice(a, len(n)), pa.array(n), pa.array(names[0]), pa.array(names[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))],
                     names=["id", "n", "h1", "h2", "keys"],
                 )
 
@@ -150,11 +165,11 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
     p.shingle words, or the whole sequence if there are fewer. Rows whose sets reach p.percent are linked; component_id
     is the smallest id reachable, and kept says that it is the row's own.
 
-    Rows of equal sets become one node first, so copies are never compared. Then, in each band's bucket, all are
+    Rows of equal words become one node first, so copies are never compared. Then, in each band's bucket, all are
     compared with one member; where a bucket still holds several components, with another member for each band; where
     it still does, each member outside the bucket's largest component is compared with all of other components, but for
     pairs which cannot reach the limit even if they share all shingles that any other of these rows has, and for pairs
-    which 1024 one-bit coordinates put far below it. No bucket is capped. A row without words (or with a null text) links with nothing. Rows of a null id link with nothing, have a
+    which 1024 one-bit coordinates put far below it (SLACK). No bucket is capped. A row without words (or with a null text) links with nothing. Rows of a null id link with nothing, have a
     null component_id and are kept. Rows of one id count as one document. Extra columns are ignored; an empty table
     gives an empty one.
     """

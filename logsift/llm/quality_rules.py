@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import SPACE, broadcast_if_small, materialize, mix64, ngrams, prefix_hash, span_hash, tidy, word_spans
+from logsift.llm.common import SPACE, broadcast_if_small, materialize, mix64, ngrams, tidy, word_hash, word_spans
 from logsift.llm.features import blocks, byte_grams, counted, hashed_share, logistic, margins, per_text, vectors, word_grams
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -87,7 +87,7 @@ def repeated_words(words: np.ndarray, texts: np.ndarray, window: int, rows: int)
     return np.bincount(texts[np.cumsum(cover)[: len(texts)] > 0], minlength=rows)
 
 
-def duplicate_lines(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> np.ndarray:
+def duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Lines of each text that hold a word and equal an earlier line of it."""
     rows = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
@@ -100,7 +100,7 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) ->
     some = inside[ends] > inside[starts]
     starts, ends, text = starts[some], ends[some], text[some]
     ends = ends - (data[ends - 1] == 10)
-    keys = mix64(span_hash(sums, starts, ends) ^ mix64(text.astype(np.uint64)))
+    keys = mix64(word_hash(data, starts, ends) ^ mix64(text.astype(np.uint64)))
     _, first = np.unique(keys, return_index=True)
     return np.bincount(text, minlength=rows) - np.bincount(text[first], minlength=rows)
 
@@ -122,16 +122,15 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for a, data, offsets in blocks(batch.column(1)):
                 rows = len(offsets) - 1
                 starts, ends, texts = word_spans(data, offsets)
-                sums = prefix_hash(data)
                 n = np.bincount(texts, minlength=rows)
-                repeats = repeated_words(span_hash(sums, starts, ends), texts, s.window, rows)
+                repeats = repeated_words(word_hash(data, starts, ends), texts, s.window, rows)
                 failed = (n < s.least_words) | (100 * repeats > s.repeat_percent * n)
                 p = np.ones(rows)
                 if model.weights is not None:
                     m = margins(_features(data, offsets, s), model.weights)[:, 0].astype(np.float64)
                     p = 1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -30, 30)))
                 chars = per_text(~SPACE[data] & ((data & 0xC0) != 0x80), offsets)
-                counts = [n, chars, per_text(SYMBOLS[data], offsets), duplicate_lines(data, offsets, sums), repeats]
+                counts = [n, chars, per_text(SYMBOLS[data], offsets), duplicate_lines(data, offsets), repeats]
                 more = [*(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(~failed & (p >= s.threshold)), pa.array(p)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), *more], names=names)
 
