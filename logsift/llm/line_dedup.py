@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,29 +10,36 @@ from pyspark.sql import functions as F
 from logsift.llm.common import broadcast_if_small, materialize
 from logsift.llm.components import connected_components
 
-#: Shingles of sparse(): the 12 characters from each word's start, and from every twelfth character of a longer word.
-SHINGLE = r"(?s)(?=(\S.{0,11}))\S{1,12}\s*"
-#: Shingles of dense(): LENGTH characters from every character. They are cut from pieces that begin every STEP characters
-#: and run on as far as the last of their shingles, so that finding a place does not walk a long line from its start.
-LENGTH, STEP = 9, 64
-PIECE = rf"(?s)(?=(\A.{{1,{LENGTH - 1}}}\z|.{{{LENGTH},{STEP + LENGTH - 1}}})).{{1,{STEP}}}"
+#: Characters of a shingle, and bytes of each: lines are encoded in UTF-32, where the i-th character is found at once.
+LENGTH, WIDE = 9, 4
 #: Least intersection per union, in percent. A pair at the limit shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS,
 #: 0.997.
 PERCENT, BANDS, ROWS = 80, 8, 3
+#: Rounds in which the members of a bucket are compared with one of them, before pairs are sought by rare shingles.
+ROUNDS = 3
 #: Documents whose lists of dropped lines are broadcast.
 LIST_ROWS = 200_000
+#: A permutation of hashes for each coordinate: exclusive or with a random number.
+_RANDOM = random.Random(20240229)
+PERMUTED = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 
 
-def sparse(line: Column) -> Column:
-    """Hashes of shingles at word starts."""
-    return F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))
+def _encoded(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
+
+
+def _places(encoded: Column) -> Column:
+    """First bytes of all shingles; a shorter line is its only shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.length(encoded) - (LENGTH * WIDE - 1), F.lit(1)), F.lit(WIDE))
+
+
+def _shingle(encoded: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(encoded, place, F.lit(LENGTH * WIDE)))
 
 
 def dense(line: Column) -> Column:
-    """Hashes of the shingles at every character; a shorter line is its only shingle."""
-    starts = lambda p: F.sequence(F.lit(1), F.greatest(F.length(p) - LENGTH + 1, F.lit(1)))
-    cut = lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(LENGTH))))
-    return F.flatten(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(1)), cut))
+    """Hashes of the shingles at every character."""
+    return F.element_at(F.transform(F.array(_encoded(line)), lambda e: F.transform(_places(e), lambda i: _shingle(e, i))), 1)
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -42,21 +49,30 @@ def _lines(texts: DataFrame) -> DataFrame:
     return out.withColumns({"l1": F.xxhash64("norm"), "l2": F.xxhash64(F.lit("line"), "norm")})
 
 
-def _verified(asked: DataFrame, sets: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
+def _signed(lines: DataFrame) -> DataFrame:
+    """(l1, keys): a key for each band of each distinct line. Shingles become rows that are reduced to their least hashes
+    in the task that reads the text; texts and shingles are not shuffled. Lines that share l1 with another one are left out."""
+    rows = lines.select("l1", "l2", _encoded(F.col("norm")).alias("e"))
+    rows = rows.select("l1", "l2", "e", F.explode(_places(F.col("e"))).alias("i")).select("l1", "l2", _shingle(F.col("e"), F.col("i")).alias("h"))
+    least = rows.groupBy("l1", "l2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(PERMUTED)])
+    return least.select("l1", F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)]).alias("keys"))
+
+
+def _verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of line names whose full shingle sets reach the limit. Texts are shuffled, not their larger sets;
     pairs whose sets differ too much in size to reach it need no comparison."""
     asked = materialize(asked.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = asked.join(sets.select(F.col("l1").alias("a"), F.col("n").alias("na"), F.col("norm").alias("ta")), "a")
     both = both.join(sets.select(F.col("l1").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")), "b")
     both = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    common = F.size(F.array_intersect(shingles(F.col("ta")), shingles(F.col("tb"))))
+    common = F.size(F.array_intersect(dense(F.col("ta")), dense(F.col("tb"))))
     return materialize(both.where((100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
-def _rarest(open_: DataFrame, sets: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
+def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """open_ with n, the size of a line's set, core, how many of it others have too, and rare, its rarest of those.
     Two lines whose sets reach the limit have one of these in common: fewer than the rest could not hold what they share."""
-    held = sets.join(broadcast_if_small(open_.select("l1")), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("g"))
+    held = sets.join(broadcast_if_small(open_.select("l1")), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(dense(F.col("norm")))).alias("g"))
     many = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))  # a line's shingles
     own = F.col("n") - F.col("core")
@@ -64,37 +80,49 @@ def _rarest(open_: DataFrame, sets: DataFrame, shingles: Callable[[Column], Colu
     return open_.join(ranked.select("l1", "n", "core", F.transform(first, lambda x: x["g"]).alias("rare")), "l1")
 
 
-def _links(named: DataFrame, lines: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
-    """Verified links between different lines. Each bucket's lines are compared with its least one, and where that
-    leaves several components, with another one. Of the lines in buckets which still hold several, those that share a rare
-    shingle are compared: each one outside the largest component that has the shingle with all of other components that
+def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Verified links between different lines. Each bucket's lines are compared with the one of them that meets most lines
+    in all its buckets: of a line and its edited copies that is the line itself. Where that leaves several components, those
+    outside the largest are compared with its first, and all of other components with the first of the rest, for some rounds; a
+    line that was compared with all others of a bucket leaves it.
+    Of the lines in buckets which still hold several, those that share a rare shingle are compared: each one outside the largest component that has the shingle with all of other components that
     can reach the limit at all, in the first shingle that they share."""
-    keyed = named.select("l1", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("l1").alias("low")).where("m > 1").drop("m"))
+    keyed = signed.select("l1", F.explode("keys").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = materialize(keyed.join(broadcast_if_small(shared), "key"))
-    held = broadcast_if_small(materialize(members.select("l1").distinct()))
-    found = lines.select("l1", "l2", "norm").join(held, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("norm").alias("norm"))
-    sets = materialize(found.select("l1", F.size(F.array_distinct(shingles(F.col("norm")))).alias("n"), "norm"))
-    links = _verified(members.select(F.col("l1").alias("a"), F.col("low").alias("b")), sets, shingles)
-
-    def still_open(links: DataFrame, members: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their component."""
+    met = materialize(members.groupBy("l1").agg(F.sum("m").alias("met")))
+    members = materialize(members.select("key", "l1").join(broadcast_if_small(met), "l1"))
+    found = lines.select("l1", "l2", "norm").join(broadcast_if_small(met.select("l1")), "l1", "left_semi")
+    found = found.groupBy("l1").agg(F.first("norm").alias("norm"), F.min("l2").alias("x"), F.max("l2").alias("y")).where("x = y")
+    sets = materialize(found.select("l1", F.size(F.array_distinct(dense(F.col("norm")))).alias("n"), "norm"))
+    first = materialize(members.groupBy("key").agg(F.max_by("l1", F.struct("met", "l1")).alias("b")))
+    links = _verified(members.join(broadcast_if_small(first), "key").select(F.col("l1").alias("a"), "b"), sets)
+
+    def still_open(links: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
+        """Members, but for those of done (key, b), of buckets that hold several components without these: (key, l1, met, c)."""
+        members = members.join(broadcast_if_small(materialize(done.select("key", F.col("b").alias("l1")))), ["key", "l1"], "left_anti")
         labels = broadcast_if_small(materialize(connected_components(links)).withColumnRenamed("node", "l1"))
-        got = members.select("key", "l1").join(labels, "l1", "left").select("key", "l1", F.coalesce("component", "l1").alias("c"))
+        got = members.join(labels, "l1", "left").select("key", "l1", "met", F.coalesce("component", "l1").alias("c"))
         split = materialize(got.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
         return materialize(got.join(broadcast_if_small(split), "key", "left_semi"))
 
-    open_ = still_open(links, members)
+    open_ = still_open(links, members, first)
+    for _ in range(ROUNDS - 1):
+        if open_.isEmpty():
+            return links
+        each = open_.groupBy("key", "c").agg(F.count("*").alias("size"), F.max(F.struct("met", "l1")).alias("top"))
+        order = F.struct("size", "c")
+        pivots = each.groupBy("key").agg(F.max_by("c", order).alias("of"), F.max_by("top", order)["l1"].alias("b")).select("key", "of", "b")
+        main = broadcast_if_small(materialize(pivots))
+        rest = each.join(main.select("key", "of"), "key").where("c <> of").groupBy("key").agg(F.max_by("c", "top").alias("of"), F.max("top")["l1"].alias("b"))
+        rest = broadcast_if_small(materialize(rest))
+        asked = [open_.join(p, "key").where("c <> of").select(F.col("l1").alias("a"), "b") for p in (main, rest)]
+        links = materialize(links.unionByName(_verified(asked[0].unionByName(asked[1]), sets)))
+        open_ = still_open(links, open_.drop("c"), main.unionByName(rest))
     if open_.isEmpty():
         return links
-    by = F.xxhash64("key", "l1")
-    pivots = open_.groupBy("key").agg(F.min_by("l1", by).alias("b"), F.min_by("c", by).alias("of"))
-    asked = open_.join(broadcast_if_small(materialize(pivots)), "key").where("c <> of").select(F.col("l1").alias("a"), "b")
-    links = materialize(links.unionByName(_verified(asked, sets, shingles)))
-    open_ = materialize(still_open(links, open_).select("l1", "c").distinct())
-    if open_.isEmpty():
-        return links
-    open_ = materialize(_rarest(open_, sets, shingles)).select("l1", "c", "n", "core", "rare", F.posexplode("rare").alias("pos", "key"))
+    open_ = materialize(open_.select("l1", "c").distinct())
+    open_ = materialize(_rarest(open_, sets)).select("l1", "c", "n", "core", "rare", F.posexplode("rare").alias("pos", "key"))
     main = open_.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("components"))
     main = broadcast_if_small(materialize(main.where("components > 1").drop("components")))
     open_ = materialize(open_.join(main, "key"))
@@ -102,17 +130,18 @@ def _links(named: DataFrame, lines: DataFrame, shingles: Callable[[Column], Colu
     earlier = F.when(F.col("a.pos") > 0, F.size(F.array_intersect(F.slice("a.rare", 1, F.col("a.pos")), F.col("b.rare"))) > 0).otherwise(False)
     # in the order of their frequency, two sets share nothing before the first shingle that they share
     most = F.least(F.col("a.core") - F.col("a.pos"), F.col("b.core") - F.col("b.pos"))
-    apart = (F.col("a.c") != F.col("b.c")) & (100 * most >= PERCENT * (F.col("a.n") + F.col("b.n") - most))
+    once = (F.col("b.c") == F.col("b.main")) | (F.col("a.l1") < F.col("b.l1"))
+    apart = once & (F.col("a.c") != F.col("b.c")) & (100 * most >= PERCENT * (F.col("a.n") + F.col("b.n") - most))
     asked = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & ~earlier).select(F.col("a.l1").alias("a"), F.col("b.l1").alias("b"))
-    return links.unionByName(_verified(asked, sets, shingles))
+    return links.unionByName(_verified(asked, sets))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: Callable[[Column], Column] = sparse) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each line dropped that is equal or near to another one which stays; adds n_lines and n_dropped.
 
     Lines are parts between newlines; they are compared without regard to case and outer white space. Equal
-    lines are one node; different ones are linked if their shingle sets (dense or sparse) reach PERCENT; of each connected component the
-    occurrence with the smallest (id, text hash, position) stays, null ids last. Lines without a word always stay. Rows of
+    lines are one node; different ones are linked if their sets of LENGTH-character shingles reach PERCENT; of each connected
+    component the occurrence with the smallest (id, text hash, position) stays, null ids last. Lines without a word always stay. Rows of
     equal id and text keep the same lines. A null text stays null and has no lines; a text that loses all its lines is
     empty. All rows and other columns stay, columns of those names are replaced; an empty table gives an empty one.
     """
@@ -120,25 +149,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c not in mine]
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
     lines = _lines(texts)
+    spots = materialize(lines.select("l1", "l2", F.col("id").isNull().alias("no"), "id", "uid", "pos"))
 
-    place = F.struct(F.col("id").isNull().alias("no"), "id", "uid", "pos")
-    distinct = lines.groupBy("l1", "l2").agg(F.first("norm").alias("norm"), F.min(place).alias("at"), F.count("*").alias("n"))
-    rows = distinct.select("l1", "l2", "at.*", "n", F.explode(shingles(F.col("norm"))).alias("h"))
-    same = ["l1", "l2", "no", "id", "uid", "pos", "n"]
-    halves = [g for k in range(BANDS * ROWS // 2) for h in [F.xxhash64("h", F.lit(k))] for g in (F.shiftright(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
-    signed = rows.groupBy(*same).agg(*[F.min(h).alias(f"m{k}") for k, h in enumerate(halves)])
-    keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)])
-    named = materialize(signed.select(*same, keys.alias("keys")))
-
-    labels = materialize(connected_components(_links(named, lines, shingles))).withColumnRenamed("node", "l1")
+    labels = broadcast_if_small(materialize(connected_components(_links(materialize(_signed(lines)), lines))).withColumnRenamed("node", "l1"))
     place = F.struct("no", "id", "uid", "pos")
-    linked = materialize(named.join(broadcast_if_small(labels), "l1").select("l1", "l2", "component", place.alias("at")))
-    kept = linked.groupBy("component").agg(F.min("at").alias("owner"))
-    owners = linked.join(kept, "component").select("l1", "l2", "owner")
-    copied = named.where("n > 1").join(broadcast_if_small(materialize(linked.select("l1", "l2"))), ["l1", "l2"], "left_anti").select("l1", "l2", place.alias("owner"))
-    owners = broadcast_if_small(materialize(owners.unionByName(copied).select("l1", "l2", *[F.col(f"owner.{c}").alias(f"o_{c}") for c in ("id", "uid", "pos")])))
+    first = spots.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(labels, "l1", "left")
+    first = materialize(first.where("n > 1 OR component IS NOT NULL"))
+    kept = first.where("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("owner"))
+    owners = first.where("component IS NOT NULL").join(kept, "component").select("l1", "l2", "owner")
+    owners = owners.unionByName(first.where("component IS NULL").select("l1", "l2", F.col("at").alias("owner")))
+    owners = broadcast_if_small(materialize(owners.select("l1", "l2", *[F.col(f"owner.{c}").alias(f"o_{c}") for c in ("id", "uid", "pos")])))
     stays = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("uid") == F.col("o_uid")) & (F.col("pos") == F.col("o_pos"))
-    dropped = lines.drop("norm").join(owners, ["l1", "l2"]).where(~stays).groupBy("id", "uid").agg(F.collect_set("pos").alias("_drop"))
+    dropped = spots.join(owners, ["l1", "l2"]).where(~stays).groupBy("id", "uid").agg(F.collect_set("pos").alias("_drop"))
     dropped = materialize(dropped.withColumnsRenamed({"id": "_id", "uid": "_uid"}))
 
     parts = F.split(text_col, "\n")
