@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ def configured(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (as in tests) a folder of our own is made and set."""
+    """The folder of ``spark.checkpoint.dir``; only where it is unset and Spark runs on this machine alone (as in tests) a
+    folder of our own is made and set. A cluster must name a folder that all its machines share."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,4 +32,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: it survives lost executors and is computed once."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() returned; nothing that is still to be computed may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
