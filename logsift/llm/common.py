@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.session import materialize, shared_dir
+from logsift.session import discard, materialize, shared_dir
 
-__all__ = ["materialize", "shared_dir"]
+__all__ = ["discard", "materialize", "shared_dir"]
 
 #: Rows of at most a few numbers each that are broadcast without hesitation (about 32 MB).
 BROADCAST_ROWS = 1_000_000

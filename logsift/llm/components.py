@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import materialize
+from logsift.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,10 +25,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.withColumnRenamed("m", "v"))
-        e = materialize(small.distinct())
+        before, e = e, materialize(small.distinct())
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)
     out = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def near_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node that an edge names; component is the smallest node within two edges. Nodes of one
+    label are connected; connected ones may have several labels. A table to be discarded."""
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
+    low = materialize(both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("m")))
+    far = both.join(low.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("component"))
+    out = materialize(far.withColumnRenamed("u", "node"))
+    discard(low)
+    return out

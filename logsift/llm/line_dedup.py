@@ -7,8 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import broadcast_if_small, materialize
-from logsift.llm.components import connected_components
+from logsift.llm.common import broadcast_if_small, discard, materialize
+from logsift.llm.components import connected_components, near_labels
 
 #: Characters of a shingle, and bytes of each: lines are encoded in UTF-32, where the i-th character is found at once.
 LENGTH, WIDE = 9, 4
@@ -66,7 +66,9 @@ def _verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
     both = both.join(sets.select(F.col("l1").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")), "b")
     both = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     common = F.size(F.array_intersect(dense(F.col("ta")), dense(F.col("tb"))))
-    return materialize(both.where((100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"))
+    out = materialize(both.where((100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"))
+    discard(asked)
+    return out
 
 
 def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -98,27 +100,34 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
     first = materialize(members.groupBy("key").agg(F.max_by("l1", F.struct("met", "l1")).alias("b")))
     links = _verified(members.join(broadcast_if_small(first), "key").select(F.col("l1").alias("a"), "b"), sets)
 
-    def still_open(links: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
-        """Members, but for those of done (key, b), of buckets that hold several components without these: (key, l1, met, c)."""
-        members = members.join(broadcast_if_small(materialize(done.select("key", F.col("b").alias("l1")))), ["key", "l1"], "left_anti")
-        labels = broadcast_if_small(materialize(connected_components(links)).withColumnRenamed("node", "l1"))
-        got = members.join(labels, "l1", "left").select("key", "l1", "met", F.coalesce("component", "l1").alias("c"))
+    def still_open(links: DataFrame, members: DataFrame, done: DataFrame, last: bool) -> DataFrame:
+        """Members, but for those of done (key, b), of buckets that hold several components without these: (key, l1, met, c).
+        Only at last are the components whole; before, some pairs of one component may be asked again."""
+        done = materialize(done.select("key", F.col("b").alias("l1")))
+        labels = materialize(connected_components(links)) if last else near_labels(links)
+        members = members.join(broadcast_if_small(done), ["key", "l1"], "left_anti")
+        got = members.join(broadcast_if_small(labels.withColumnRenamed("node", "l1")), "l1", "left")
+        got = got.select("key", "l1", "met", F.coalesce("component", "l1").alias("c"))
         split = materialize(got.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
-        return materialize(got.join(broadcast_if_small(split), "key", "left_semi"))
+        out = materialize(got.join(broadcast_if_small(split), "key", "left_semi"))
+        discard(done, labels, split)
+        return out
 
-    open_ = still_open(links, members, first)
-    for _ in range(ROUNDS - 1):
+    open_ = still_open(links, members, first, False)
+    discard(shared, members, met, first)
+    for k in range(2, ROUNDS + 1):
         if open_.isEmpty():
             return links
         each = open_.groupBy("key", "c").agg(F.count("*").alias("size"), F.max(F.struct("met", "l1")).alias("top"))
-        order = F.struct("size", "c")
+        each, order = materialize(each), F.struct("size", "c")
         pivots = each.groupBy("key").agg(F.max_by("c", order).alias("of"), F.max_by("top", order)["l1"].alias("b")).select("key", "of", "b")
-        main = broadcast_if_small(materialize(pivots))
-        rest = each.join(main.select("key", "of"), "key").where("c <> of").groupBy("key").agg(F.max_by("c", "top").alias("of"), F.max("top")["l1"].alias("b"))
-        rest = broadcast_if_small(materialize(rest))
-        asked = [open_.join(p, "key").where("c <> of").select(F.col("l1").alias("a"), "b") for p in (main, rest)]
+        main = materialize(pivots)
+        rest = each.join(broadcast_if_small(main.select("key", "of")), "key").where("c <> of")
+        rest = materialize(rest.groupBy("key").agg(F.max_by("c", "top").alias("of"), F.max("top")["l1"].alias("b")))
+        asked = [open_.join(broadcast_if_small(p), "key").where("c <> of").select(F.col("l1").alias("a"), "b") for p in (main, rest)]
         links = materialize(links.unionByName(_verified(asked[0].unionByName(asked[1]), sets)))
-        open_ = still_open(links, open_.drop("c"), main.unionByName(rest))
+        before, open_ = open_, still_open(links, open_.drop("c"), main.unionByName(rest), k == ROUNDS)
+        discard(before, each, main, rest)
     if open_.isEmpty():
         return links
     open_ = materialize(open_.select("l1", "c").distinct())
