@@ -21,6 +21,10 @@ __all__ = ["discard", "materialize", "shared_dir"]
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast only if it has at most max_rows rows; else a join of it shuffles. df must be materialized."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -39,6 +43,15 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df through run in Arrow batches of ARROW_ROWS rows at most, unless the session has another setting than the default:
+    batches are held on both sides, and those of 10,000 texts took hundreds of MB of an executor."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     plain = F.length(text) == F.octet_length(text)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, mix64, ngrams, pieces, text_bytes, tidy, word_hash, word_spans
+from logsift.llm.common import LOWER, mix64, ngrams, pieces, text_bytes, arrow_map, word_hash, word_spans
 
 #: Bytes of text, and rows, at a time.
 BLOCK, BLOCK_ROWS = 1 << 19, 512
@@ -78,7 +78,7 @@ def vectors(docs: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, len(x))], names=["x", "y"])
 
     kind = docs.schema[label].dataType.simpleString()
-    rows = docs.select("text", label).mapInArrow(tidy(run), f"x binary, y {kind}").toArrow()
+    rows = arrow_map(docs.select("text", label), run, f"x binary, y {kind}").toArrow()
     order = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True), key=lambda r: (r[0], str(r[1])))
     x = np.frombuffer(b"".join(r[0] for r in order), np.float16)
     return x.reshape(len(order), -1) if order else np.zeros((0, 1), np.float16), [r[1] for r in order]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import tidy
+from logsift.llm.common import arrow_map
 from logsift.llm.features import LETTERS, blocks, byte_grams, counted, hashed_share, logistic, margins, vectors
 
 UNDETERMINED = "und"
@@ -123,4 +123,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names_out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return arrow_map(docs, run, f"{fields}, lang_pred string, score double, ambiguous boolean")

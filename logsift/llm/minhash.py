@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, SPACE, broadcast_if_small, materialize, mix64, ngrams, pieces, text_bytes, tidy, word_hash, word_spans
+from logsift.llm.common import LOWER, SPACE, broadcast_if_small, materialize, mix64, ngrams, pieces, text_bytes, arrow_map, word_hash, word_spans
 from logsift.llm.components import connected_components
 
 
@@ -122,7 +122,7 @@ def _sketched(docs: DataFrame, p: Near) -> DataFrame:
                     names=["id", "n", "h1", "h2", "keys"],
                 )
 
-    return docs.mapInArrow(tidy(run), "id long, n long, h1 long, h2 long, keys array<long>")
+    return arrow_map(docs, run, "id long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(offsets) - 1), lists], names=["id", "grams"])
 
-    return docs.mapInArrow(tidy(run), "id long, grams array<long>")
+    return arrow_map(docs, run, "id long, grams array<long>")
 
 
 def _profiles(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _profiles(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     sets = materialize(_full_sets(texts.join(broadcast_if_small(ids), "id", "left_semi"), shingle))
     own = sets.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     own = own.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    signed = sets.mapInArrow(tidy(run), "id long, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
+    signed = arrow_map(sets, run, "id long, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
     return materialize(signed.join(own, "id", "left").withColumn("core", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"))
 
 

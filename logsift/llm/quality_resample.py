@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import broadcast_if_small, materialize, tidy
+from logsift.llm.common import broadcast_if_small, materialize, arrow_map
 from logsift.llm.features import blocks, word_grams
 
 
@@ -42,7 +42,7 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
                 target += np.bincount(bucket[chosen[a + texts]], minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
 
-    made = docs.mapInArrow(tidy(run), "bucket long, raw long, target long")
+    made = arrow_map(docs, run, "bucket long, raw long, target long")
     return made.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -90,7 +90,7 @@ def resample(docs: DataFrame, target: DataFrame, settings: Settings | None = Non
                 weight = np.bincount(texts, ratio[bucket], len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(weight)], names=["id", "n_grams", "log_weight"])
 
-    weighed = docs.mapInArrow(tidy(weigh), f"id {docs.schema['id'].dataType.simpleString()}, n_grams long, log_weight double")
+    weighed = arrow_map(docs, weigh, f"id {docs.schema['id'].dataType.simpleString()}, n_grams long, log_weight double")
     u = (F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = materialize(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(u))))
     edge = kth_largest(scored, int(np.ceil(s.fraction * scored.count())))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import SPACE, broadcast_if_small, materialize, mix64, ngrams, tidy, word_hash, word_spans
+from logsift.llm.common import SPACE, broadcast_if_small, materialize, mix64, ngrams, arrow_map, word_hash, word_spans
 from logsift.llm.features import blocks, byte_grams, counted, hashed_share, logistic, margins, per_text, vectors, word_grams
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -136,4 +136,4 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema["id"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in names[1:6])
-    return docs.mapInArrow(tidy(run), f"id {kind}, {longs}, base_failed boolean, kept boolean, quality_prob double").withColumnRenamed("id", id_col)
+    return arrow_map(docs, run, f"id {kind}, {longs}, base_failed boolean, kept boolean, quality_prob double").withColumnRenamed("id", id_col)

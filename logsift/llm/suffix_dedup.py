@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import broadcast_if_small, materialize, mix64, pieces, prefix_hash, span_hash, text_bytes, tidy
+from logsift.llm.common import broadcast_if_small, materialize, mix64, pieces, prefix_hash, span_hash, text_bytes, arrow_map
 
 #: Bytes of text at a time; rows of a class that one task compares at once before the class is split by window hash.
 BLOCK, CLASS_ROWS = 1 << 20, 500
@@ -73,7 +73,7 @@ def _found(texts: DataFrame, length: int, anchor: int) -> DataFrame:
                     names=["uid", "first", "last", "fp", "name"],
                 )
 
-    return texts.mapInArrow(tidy(run), "uid binary, first long, last long, fp long, name long")
+    return arrow_map(texts, run, "uid binary, first long, last long, fp long, name long")
 
 
 def _windows(held: DataFrame, length: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _windows(held: DataFrame, length: int) -> DataFrame:
                 names=["fp", "salt", "uid", "at", "hashes"],
             )
 
-    return held.mapInArrow(tidy(run), "fp long, salt long, uid binary, at array<long>, hashes array<long>")
+    return arrow_map(held, run, "fp long, salt long, uid binary, at array<long>, hashes array<long>")
 
 
 def _repeated(dealt: DataFrame, length: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _repeated(dealt: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(tidy(run), "uid binary, first long, end long")
+    return arrow_map(dealt, run, "uid binary, first long, end long")
 
 
 def _cut(held: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _cut(held: DataFrame) -> DataFrame:
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return held.mapInArrow(tidy(run), f"id {held.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return arrow_map(held, run, f"id {held.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeated_spans(texts: DataFrame, length: int, anchor: int) -> DataFrame:

@@ -36,7 +36,7 @@ def test_pack_gives_the_ids_of_the_tokenizer(spark, monkeypatch):
     want = [zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["ids_crc32"] for r in packing.pack(docs, tokenizer_file()).orderBy("doc_id").collect()] == want
-    encode = packing._Encoder(open(tokenizer_file()).read())
+    encode = packing._Encoder(open(tokenizer_file()).read(), True)
     monkeypatch.setattr(packing, "word_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))  # all words collide
     for _ in range(2):
         for t in texts:
@@ -47,7 +47,7 @@ def test_pack_gives_the_ids_of_the_tokenizer(spark, monkeypatch):
 
 def test_other_tokenizers_are_asked_for_whole_texts():
     definition = open(tokenizer_file("byte_bpe_50k.json")).read()
-    encode, text = packing._Encoder(definition), "Two words,  and\nmore 123"
+    encode, text = packing._Encoder(definition, packing.by_words(definition)), "Two words,  and\nmore 123"
     assert packing.by_words(open(tokenizer_file()).read()) and not packing.by_words(definition)
     data = np.frombuffer(text.encode(), np.uint8)
     assert encode(data, np.array([0, len(data)]))[0].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
