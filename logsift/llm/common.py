@@ -67,7 +67,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = _U(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, list] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -80,15 +80,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _U(pow(int(_BASE), -1, 2**64)))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+#: Two primes below 2**31, and a base for each: sums of 2**32 products fit into 64 bits.
+PRIMES, BASES = (2147483647, 2147483629), (1540483477, 1103515245)
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime, powers of its base and of the base's inverse."""
+    if "powers" not in _POWERS or len(_POWERS["powers"][0][0]) < n:
+        out = []
+        for prime, base in zip(PRIMES, BASES, strict=True):
+            both = []
+            for x in (base, pow(base, -1, prime)):
+                got = np.ones(1, np.uint64)
+                while len(got) < max(n, 1 << 16):
+                    got = np.concatenate([got, got * _U(pow(x, len(got), prime)) % _U(prime)])
+                both.append(got)
+            out.append((both[0], both[1]))
+        _POWERS["powers"] = out
+    return _POWERS["powers"]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,18 +180,20 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums from which span_hash() takes the hash of any span of the bytes. Different bytes can have equal hashes by their
-    form (Thue-Morse strings do): good to choose or to group, never to tell whether two spans are equal."""
-    up, _ = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    """Sums, a row for each prime, from which span_hash() takes the hash of any span of fewer than 2**31 bytes."""
+    sums = np.zeros((len(PRIMES), len(data) + 1), np.uint64)
+    for row, prime, (up, _), table in zip(sums, PRIMES, _powers(len(data) + 1), (_TABLE >> _U(33), _TABLE & _U(0x3FFFFFFF)), strict=True):
+        np.cumsum(table[data] * up[: len(data)] % _U(prime), out=row[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans; equal bytes have equal hashes wherever they stand."""
-    _, down = _powers(len(sums))
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """62-bit hashes of spans, mixed; equal bytes have equal hashes wherever they stand. Arithmetic is modulo primes: modulo
+    a power of two such sums cancel out on Thue-Morse strings for every base."""
+    first, second = (
+        (row[ends] - row[starts]) % _U(prime) * down[starts] % _U(prime) for row, prime, (_, down) in zip(sums, PRIMES, _powers(sums.shape[1]), strict=True)
+    )
+    return mix64((first << _U(32) | second) + (ends - starts).astype(np.uint64) * _BASE)
 
 
 def ngrams(hashes: np.ndarray, texts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
