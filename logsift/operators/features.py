@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,19 +29,23 @@ def idf(cells: DataFrame, n: int | Column, smooth: bool = False) -> DataFrame:
     return doc_frequency(cells).select("term", "df", value.alias("idf"))
 
 
+def per_sequence(total: Column) -> Column:
+    """An aggregate of a sequence's cells beside each of them: one shuffle, and no second reading of what made the cells. A
+    sequence has as many cells as it has different terms."""
+    return total.over(Window.partitionBy("seq_id"))
+
+
 def tf_idf(cells: DataFrame, weights: DataFrame) -> DataFrame:
     """Term shares times idf; terms without a weight are dropped (their idf is unknown)."""
-    total = cells.groupBy("seq_id").agg(F.sum("value").alias("total"))
     share = F.col("value") / F.when(F.col("total") == 0, 1).otherwise(F.col("total"))
-    joined = cells.join(total, "seq_id").join(weights.select("term", "idf"), "term")
+    joined = cells.withColumn("total", per_sequence(F.sum("value"))).join(weights.select("term", "idf"), "term")
     return joined.select("seq_id", "term", (share * F.col("idf")).alias("value"))
 
 
 def l2_normalized(cells: DataFrame) -> DataFrame:
     """Each sequence scaled to length 1; a zero row stays zero."""
-    norm = cells.groupBy("seq_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     scaled = F.col("value") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
-    return cells.join(norm, "seq_id").select("seq_id", "term", scaled.alias("value"))
+    return cells.withColumn("norm", F.sqrt(per_sequence(F.sum(F.col("value") * F.col("value"))))).select("seq_id", "term", scaled.alias("value"))
 
 
 def column_scaled(cells: DataFrame, n: int, how: str = "std") -> DataFrame:
@@ -55,8 +59,6 @@ def column_scaled(cells: DataFrame, n: int, how: str = "std") -> DataFrame:
 
 def interval_stats(lines: DataFrame, order: list[str], ts: str = "ts_s") -> DataFrame:
     """(seq_id, mean, std, max, latency) of the gaps between successive lines; a single line has zeros."""
-    from pyspark.sql import Window
-
     gap = F.lead(ts).over(Window.partitionBy("seq_id").orderBy(*order)) - F.col(ts)
     stats = lines.select("seq_id", ts, gap.alias("gap")).groupBy("seq_id")
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +33,19 @@ class Subspace:
     energy: np.ndarray  # squared singular values, falling
 
     def residual(self, x: Column) -> Column:
-        """Length of what the subspace does not hold of the centred row; the vector itself, for small residuals."""
-        centred = minus(x, array(self.mean))
-        parts = [dot(centred, array(p)) for p in self.basis]
-        held = F.array(*[sum((c * F.lit(float(p[j])) for c, p in zip(parts, self.basis, strict=True)), F.lit(0.0)) for j in range(len(self.mean))])
-        return norm(minus(centred, held))
+        """Length of what the subspace does not hold of the centred row, in Arrow batches; the vector itself, for small
+        residuals. A null row has none."""
+        mean, basis = self.mean, self.basis
+
+        @F.arrow_udf("double")
+        def length(v: pa.Array) -> pa.Array:
+            rows = v.drop_null()
+            m = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1) - mean
+            out = np.full(len(v), np.nan)
+            out[v.is_valid().to_numpy(zero_copy_only=False)] = np.linalg.norm(m - m @ basis.T @ basis, axis=1)
+            return pa.array(out, pa.float64(), from_pandas=True)
+
+        return length(x)
 
 
 def gram(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:

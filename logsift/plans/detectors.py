@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions.parsing import soft_threshold
@@ -281,34 +281,34 @@ def _vector_array(col: str):
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
-def events_stream(spark: SparkSession, d: str) -> DataFrame:
-    stream = windows.stream_table(spark, f"{d}/events.parquet")
-    return windows.with_time(stream, "10 minutes").withColumn("y", (F.col("value") > 200).cast("int"))
+def event_windows(spark: SparkSession, d: str, name: str, window: Column, keys: list[str]) -> DataFrame:
+    y = (F.col("value") > 200).cast("int")
+    held = lambda events: windows.windowed(events, window, keys, [F.count("*").alias("n_events"), F.max(y).alias("y")])
+    return windows.drain_windows(spark, f"{d}/events.parquet", "10 minutes", name, held)
 
 
 @query("stream_node_6h", f"WITH {EVENTS_SQL} SELECT node, CAST(floor(ts_s / 21600) AS BIGINT) AS window_id, count(*) AS n_events, max(y) AS y FROM e GROUP BY ALL")
 def stream_node_6h(spark: SparkSession, d: str) -> DataFrame:
-    held = windows.windowed(events_stream(spark, d), F.window("ts", "6 hours"), ["user_id"], [F.count("*").alias("n_events"), F.max("y").alias("y")])
     start = F.unix_timestamp(F.col("w.start"))
-    return windows.drain(held, "complete", "node6h").select(F.col("user_id").alias("node"), F.floor(start / 21600).alias("window_id"), "n_events", "y")
+    return event_windows(spark, d, "node6h", F.window("ts", "6 hours"), ["user_id"]).select(F.col("user_id").alias("node"), F.floor(start / 21600).alias("window_id"), "n_events", "y")
 
 
 @query("stream_sliding", f"WITH {EVENTS_SQL}, w AS (SELECT CAST(floor(ts_s / 3600) AS BIGINT) - unnest(range(6)) AS hour, y FROM e) SELECT hour, count(*) AS n_events, max(y) AS y FROM w GROUP BY hour")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    held = windows.windowed(events_stream(spark, d), F.window("ts", "6 hours", "1 hour"), [], [F.count("*").alias("n_events"), F.max("y").alias("y")])
-    return windows.drain(held, "complete", "sliding").select(F.floor(F.unix_timestamp(F.col("w.start")) / 3600).alias("hour"), "n_events", "y")
+    held = event_windows(spark, d, "sliding", F.window("ts", "6 hours", "1 hour"), [])
+    return held.select(F.floor(F.unix_timestamp(F.col("w.start")) / 3600).alias("hour"), "n_events", "y")
 
 
 @query("stream_session", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id AS node, count(*) AS n_events, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s FROM s GROUP BY user_id, n""")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    held = windows.windowed(events_stream(spark, d), F.session_window("ts", "12 hours"), ["user_id"], [F.count("*").alias("n_events")])
-    return windows.drain(held, "complete", "session").select(F.col("user_id").alias("node"), "n_events", F.unix_timestamp(F.col("w.start")).alias("start_s"))
+    held = event_windows(spark, d, "session", F.session_window("ts", "12 hours"), ["user_id"])
+    return held.select(F.col("user_id").alias("node"), "n_events", F.unix_timestamp(F.col("w.start")).alias("start_s"))
 
 
 @query("stream_alerts", "SELECT event_id, user_id AS node FROM events WHERE value * 2e0 > 300")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     params = spark.createDataFrame([(1, 2.0, 300.0)], "model int, factor double, theta double")
-    scores = events_stream(spark, d).withColumn("model", F.lit(1)).join(F.broadcast(params), "model")  # one row
+    scores = windows.stream_table(spark, f"{d}/events.parquet").withColumn("model", F.lit(1)).join(F.broadcast(params), "model")  # one row
     alerts = scores.where(F.col("value") * F.col("factor") > F.col("theta")).select("event_id", F.col("user_id").alias("node"))
-    return windows.drain(alerts, "append", "alerts")
+    return windows.drain(alerts, "alerts")

@@ -172,10 +172,11 @@ def split_inverted_kfold(spark: SparkSession, d: str) -> DataFrame:
     return splits.inverted_kfold(scored(spark, d).select("seq_id", "y"), 5, 2500, 100, 42, ["seq_id"])
 
 
-@query("split_stratified_10fold", f"""WITH {SCORED_SQL}, p AS (SELECT seq_id, y, {ntile_sql(10, 42)} AS part FROM r),
-e2 AS (SELECT seq_id, y, part, CAST(f AS INT) AS fold FROM p, range(1, 11) AS q(f)),
-o AS (SELECT *, row_number() OVER (PARTITION BY fold, y ORDER BY {key_sql('42v', 'seq_id')}, seq_id) AS rn, count(*) FILTER (y = 0) OVER (PARTITION BY fold) AS n FROM e2 WHERE part <> fold)
-SELECT seq_id, y, fold, CASE WHEN y = 0 THEN CASE WHEN rn <= ceil(n / 10) THEN 'val' ELSE 'train' END WHEN rn <= 100 THEN 'val' ELSE 'unused' END AS role FROM o
+@query("split_stratified_10fold", f"""WITH {SCORED_SQL}, p AS MATERIALIZED (SELECT seq_id, y, {key_sql('42v', 'seq_id')} AS k, {ntile_sql(10, 42)} AS part FROM r),
+e2 AS MATERIALIZED (SELECT seq_id, y, k, part, CAST(f AS INT) AS fold FROM p, range(1, 11) AS q(f)),
+o AS (SELECT *, row_number() OVER (PARTITION BY fold, y ORDER BY k, seq_id) AS rn FROM e2 WHERE part <> fold),
+c AS (SELECT fold, count(*) FILTER (y = 0) AS n FROM e2 WHERE part <> fold GROUP BY fold)
+SELECT seq_id, y, fold, CASE WHEN y = 0 THEN CASE WHEN rn <= ceil(n / 10) THEN 'val' ELSE 'train' END WHEN rn <= 100 THEN 'val' ELSE 'unused' END AS role FROM o JOIN c USING (fold)
 UNION ALL SELECT seq_id, y, fold, 'test' FROM e2 WHERE part = fold""")
 def split_stratified_10fold(spark: SparkSession, d: str) -> DataFrame:
     return splits.stratified(scored(spark, d).select("seq_id", "y"), 10, 42, ["seq_id"], most_val=100)

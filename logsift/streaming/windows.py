@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,15 +27,29 @@ def windowed(stream: DataFrame, window: Column, keys: list[str], aggs: list[Colu
     return stream.groupBy(*keys, window.alias("w")).agg(*aggs)
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that is there into Parquet (append) or, updated as a whole, into the last batch."""
-    import uuid
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream of rows over all that is there, appending to Parquet."""
+    at = f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    return _append(stream, at)
 
-    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    else:
-        save: Callable = lambda df, k: df.write.mode("overwrite").parquet(f"{at}/out")
-        q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+
+def drain_windows(spark: SparkSession, path: str, late: str, name: str, windows: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """Windows of a table's stream of events, each written once, when the watermark has passed its end, and then forgotten:
+    state holds open windows only. At the end a row of a second source, a year after the last event, lets the watermark
+    pass the windows that are still open; its own window is never written."""
+    at = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    batch = spark.read.parquet(path)
+    batch.limit(0).write.parquet(f"{at}/end")
+    events = stream_table(spark, path).unionByName(spark.readStream.schema(batch.schema).parquet(f"{at}/end"))
+    held = windows(with_time(events, late, ts))
+    _append(held, at)
+    end = F.max(F.col(ts).cast("timestamp")) + F.expr("INTERVAL 365 DAYS")
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema.fields if f.name != ts]
+    batch.agg(end.cast(batch.schema[ts].dataType).alias(ts)).select(ts, *others).write.mode("append").parquet(f"{at}/end")
+    return _append(held, at)
+
+
+def _append(stream: DataFrame, at: str) -> DataFrame:
+    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
