@@ -30,15 +30,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def release() -> None:
+    """Gives back the memory that this process no longer uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than in the GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """run, an Arrow batch function, which at its end gives back the memory that the worker no longer uses: the worker
     stays for later tasks, beside an executor that may then need it."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # elsewhere than in the GNU C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
     return tidied
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import arrow_map
+from logsift.llm.common import arrow_map, release
 from logsift.llm.features import LETTERS, blocks, byte_grams, counted, hashed_share, logistic, margins, vectors
 
 UNDETERMINED = "und"
@@ -71,6 +71,8 @@ def learn(docs: DataFrame, settings: Settings | None = None) -> Model:
     weight = (1 / np.bincount(place, minlength=len(languages)).clip(1))[place][:, None] * np.ones_like(target)
     w = logistic(x, target, weight)
     right = (np.sign(margins(x.astype(np.float32), w)) == target).mean(0)
+    del x
+    release()
     return Model(languages, codes, w, np.clip(2 * right - 1, 0.01, 1), s)
 
 
