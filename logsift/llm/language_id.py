@@ -56,7 +56,8 @@ def _features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> np.ndarray
 
 
 def learn(docs: DataFrame, settings: Settings | None = None) -> Model:
-    """docs: (id, text, lang). Null languages and texts are ignored."""
+    """docs: (id, text, lang); other columns are ignored. Rows with a null language or text are left out, empty texts teach
+    nothing but count; with fewer than two languages there are no bits to learn."""
     s = settings or Settings()
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}

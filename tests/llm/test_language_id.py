@@ -46,3 +46,27 @@ def test_codewords_are_apart_and_bits_split(n):
     code = li.codewords(n)
     assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 1
     assert (np.abs(code.sum(0)) < n).all()
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 12])
+def test_decoding_finds_the_nearest_codeword(n):
+    rng = np.random.default_rng(n)
+    codes = li.codewords(n)
+    trust = rng.uniform(0.01, 1, codes.shape[1])
+    margin = rng.normal(0, 3, (200, codes.shape[1]))
+    model = li.Model(tuple(f"l{k:02}" for k in range(n)), codes, np.zeros((1, 1)), trust, li.Settings())
+    best, p, doubt = li.decode(model, margin)
+    for row, k, q, d in zip(margin, best, p, doubt, strict=True):
+        loss = [sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(row, code, trust, strict=True)) / sum(trust) * 8 for code in codes]
+        share = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        first, second = sorted(share)[:-3:-1]
+        assert k == np.argmin(loss) and q == pytest.approx(first) and d == (first - second < model.settings.apart)
+
+
+def test_many_languages(make):
+    rng = random.Random(3)
+    words = {f"l{k}": [f"{chr(97 + k)}{chr(97 + (k * 5 + j) % 26)}{chr(98 + k)}" for j in range(6)] for k in range(9)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(30))
+    model = li.learn(make([(i, text(lang), lang) for i, lang in enumerate(list(words) * 30)]).withColumnRenamed("doc_id", "id"))
+    got = li.identify(make([(i, text(lang), None) for i, lang in enumerate(list(words) * 10)]), model).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 9}" for r in got]) > 0.95

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORDS = {"en": "the and of with house time by or that from".split(), "fr": "le que été même où château dans une est pour".split()}
 
@@ -52,3 +53,14 @@ def test_run_packs_what_is_left(spark, folder):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_pass_through_and_n_chars_may_be_missing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("n_chars")
+    names = ["score", "Ambiguous", "n_dropped", "_parts", "copy", "mix_copies", "_key", "kept", "a.b"]
+    more = docs.select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names])
+    more = corpus_pipeline.materialize(more.unionByName(more.where("doc_id < 5")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = corpus_pipeline.materialize(stage(spark, more, folder))
+        assert got.columns == more.columns, name
+        assert got.count() > 0 and all(r[n] == f"{n}:{r['doc_id']}" for r in got.collect() for n in names), name
