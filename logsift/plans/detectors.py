@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions.parsing import soft_threshold
-from logsift.operators import features, metrics, models, sequences, thresholds
+from logsift.operators import features, metrics, models, persistence, sequences, thresholds
 from logsift.plans.registry import query, r6
 from logsift.plans.relational import CELLS_SQL, POS_SQL, cells
+from logsift.session import shared_dir
 from logsift.streaming import windows
 from logsift.views import EVENTS_SQL, SCORED_SQL, log_events, scored, session_labels, vec64
 
@@ -124,6 +126,16 @@ def model_pca_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(held_rows(spark, d).withColumn("err", space.residual(F.col("x"))))
 
 
+@query("sink_model_roundtrip", "SELECT vec_id AS seq_id, true AS same FROM embeddings WHERE label = 9 OR vec_id % 5 = 0")
+def sink_model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a subspace that was saved and loaded again scores each held row as the fitted one does."""
+    fitted, path = models.fit_pca(normals(spark, d), 6), f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    persistence.save(spark, fitted, path)
+    loaded = persistence.load(spark, path)
+    rows = held_rows(spark, d)
+    return rows.select("seq_id", (F.abs(fitted.residual(F.col("x")) - loaded.residual(F.col("x"))) < 1e-9).alias("same"))
+
+
 @query("model_explained_variance")
 def model_explained_variance(spark: SparkSession, d: str) -> DataFrame:
     energy = models.fit_pca(normals(spark, d), 1).energy
