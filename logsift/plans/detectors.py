@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions.parsing import soft_threshold
-from logsift.operators import features, metrics, models, persistence, sequences, thresholds
+from logsift.operators import features, metrics, models, persistence, sequences, splits, thresholds
 from logsift.plans.registry import query, r6
 from logsift.plans.relational import CELLS_SQL, POS_SQL, cells
-from logsift.session import shared_dir
+from logsift.session import discard, materialize, shared_dir
 from logsift.streaming import windows
 from logsift.views import EVENTS_SQL, SCORED_SQL, log_events, scored, session_labels, vec64
 
@@ -143,6 +143,35 @@ def model_explained_variance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, round(float(s), 6)) for k, s in enumerate(share)], "k long, share double")
 
 
+FOLDS = 5
+
+
+def fold_roles(spark: SparkSession, d: str) -> DataFrame:
+    return splits.stratified(vec64(spark, d).select("seq_id", "y"), FOLDS, 42, ["seq_id"])
+
+
+@query("eval_pca_folds")
+def eval_pca_folds(spark: SparkSession, d: str) -> DataFrame:
+    """A whole evaluation: in each fold a subspace is fitted on training normals, its threshold set on validation normals
+    (mode A), and all test rows are flagged and graded. Roles are dealt once, by id; a fold's vectors are joined to them
+    when they are fitted or scored."""
+    roles, vectors = materialize(fold_roles(spark, d)), vec64(spark, d).select("seq_id", "x")
+    rows = []
+    for fold in range(1, FOLDS + 1):
+        mine = vectors.join(roles.where(F.col("fold") == fold).drop("fold"), "seq_id")
+        space = models.fit_pca(mine.where("role = 'train'"), 6)
+        scores = materialize(mine.where("role = 'test' OR role = 'val' AND y = 0").select("role", "y", space.residual(F.col("x")).alias("err")))
+        theta, fallback = thresholds.mode_a(scores.where("role = 'val'"))
+        test = scores.where("role = 'test'")
+        graded = metrics.precision_recall(metrics.confusion(test.withColumn("flag", (F.col("err") > theta).cast("int")))).first()
+        ranked = (metrics.average_precision(test).first()[0], metrics.roc_auc(test).first()[0])
+        rows.append((fold, *[graded[c] for c in metrics.CELLS], *[round(v, 6) for v in (graded["precision"], graded["recall"], graded["f1"], *ranked)], bool(fallback)))
+        discard(scores)
+    discard(roles)
+    counts = ", ".join(f"{c} long" for c in metrics.CELLS)
+    return spark.createDataFrame(rows, f"fold long, {counts}, precision double, recall double, f1 double, average_precision double, roc_auc double, fallback boolean")
+
+
 @query("model_rpca")
 def model_rpca(spark: SparkSession, d: str) -> DataFrame:
     found = models.robust_pca_rows(normals(spark, d))
