@@ -12,6 +12,10 @@ from logsift.llm.components import connected_components, near_labels
 
 #: Characters of a shingle, and bytes of each: lines are encoded in UTF-32, where the i-th character is found at once.
 LENGTH, WIDE = 9, 4
+#: Shingles of a row where signatures are made: rows and lookups of their lines cost more than the shingles.
+STEP = 8
+#: White space around a line that does not count.
+BLANKS = " \t\r\f\x0b"
 #: Least intersection per union, in percent. A pair at the limit shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS,
 #: 0.997.
 PERCENT, BANDS, ROWS = 80, 8, 3
@@ -45,16 +49,20 @@ def dense(line: Column) -> Column:
 def _lines(texts: DataFrame) -> DataFrame:
     """(id, uid, pos, norm, l1, l2): lines with a word, as they are compared; l1 and l2 name the content."""
     out = texts.select("id", "uid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = out.withColumn("norm", F.lower(F.btrim("line", F.lit(" \t\r\f\x0b")))).where("norm <> ''").drop("line")
+    out = out.withColumn("norm", F.lower(F.btrim("line", F.lit(BLANKS)))).where("norm <> ''").drop("line")
     return out.withColumns({"l1": F.xxhash64("norm"), "l2": F.xxhash64(F.lit("line"), "norm")})
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(l1, keys): a key for each band of each distinct line. Shingles become rows that are reduced to their least hashes
-    in the task that reads the text; texts and shingles are not shuffled. Lines that share l1 with another one are left out."""
+    """(l1, keys): a key for each band of each distinct line. Shingles become rows of STEP, the last one repeated where
+    they end, that are reduced to their least hashes in the task that reads the text; texts and shingles are not shuffled.
+    Lines that share l1 with another one are left out."""
     rows = lines.select("l1", "l2", _encoded(F.col("norm")).alias("e"))
-    rows = rows.select("l1", "l2", "e", F.explode(_places(F.col("e"))).alias("i")).select("l1", "l2", _shingle(F.col("e"), F.col("i")).alias("h"))
-    least = rows.groupBy("l1", "l2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(PERMUTED)])
+    rows = rows.select("l1", "l2", "e", F.greatest(F.length("e") - (LENGTH * WIDE - 1), F.lit(1)).alias("z"))
+    rows = rows.select("l1", "l2", "e", "z", F.explode(F.sequence(F.lit(1), F.col("z"), F.lit(WIDE * STEP))).alias("i"))
+    rows = rows.select("l1", "l2", *[_shingle(F.col("e"), F.least(F.col("i") + WIDE * j, F.col("z"))).alias(f"h{j}") for j in range(STEP)])
+    mixed = [F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]) for c in PERMUTED]
+    least = rows.groupBy("l1", "l2").agg(*[F.min(m).alias(f"m{k}") for k, m in enumerate(mixed)])
     return least.select("l1", F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)]).alias("keys"))
 
 
