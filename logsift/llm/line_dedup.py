@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,10 @@ def dense(line: Column) -> Column:
 def _lines(texts: DataFrame) -> DataFrame:
     """(id, uid, pos, norm, l1, l2): lines with a word, as they are compared; l1 and l2 name the content."""
     out = texts.select("id", "uid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = out.withColumn("norm", F.lower(F.btrim("line", F.lit(BLANKS)))).where("norm <> ''").drop("line")
+    line = F.col("line")
+    out = out.where(F.ltrim("line", F.lit(BLANKS)) != "")  # stops at the first character that counts
+    padded = reduce(Column.__or__, [test(c) for c in BLANKS for test in (line.startswith, line.endswith)])
+    out = out.withColumn("norm", F.lower(F.when(padded, F.btrim("line", F.lit(BLANKS))).otherwise(line))).drop("line")
     return out.withColumns({"l1": F.xxhash64("norm"), "l2": F.xxhash64(F.lit("line"), "norm")})
 
 
