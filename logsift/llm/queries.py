@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.llm import clustering, hard_negatives, language_id, line_dedup, minhash, mixing, packing, pii, quality_resample, quality_rules, sentencepieces, suffix_dedup
 from logsift.llm import exact_dedup as exact
-from logsift.llm import language_id, line_dedup, minhash, mixing, packing, pii, quality_resample, quality_rules, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,49 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_resample.resample(_documents(spark, sf_dir).select("doc_id", "text"), good.select("doc_id"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality_rules": op8_quality_rules, "op9_language_id": op9_language_id, "op10_quality_classifier": op10_quality_classifier}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encode_and_decode(_documents(spark, sf_dir).select("doc_id", "text"), sentencepieces.vocabulary(tokenizer_file("piece_bpe_32k.model")))
+    return found.select(
+        "doc_id", (F.octet_length("sp_ids") / 4).cast("long").alias("n_tokens"), F.sha2("sp_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("sp_text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(_embeddings(spark, sf_dir).select("vec_id", "embedding"), clustering.Settings(clusters=16, rounds=3))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _embeddings(spark, sf_dir).select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, "id % 100 = 0")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality_rules": op8_quality_rules, "op9_language_id": op9_language_id, "op10_quality_classifier": op10_quality_classifier, "op11_sentencepiece": op11_sentencepiece, "op12_clustering": op12_clustering, "op13_hard_negatives": op13_hard_negatives}
+
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """The rounds one after the other: nearest centroid of each vector, then floors of the means."""
+    assign = """a{k} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, CAST(list_sum(list_transform(list_zip(v.x, m.x), lambda z : (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+      FROM v, m{k} AS m) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    update = """u{k} AS MATERIALIZED (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS x, unnest(range(1, 65)) AS i FROM v JOIN a{k} USING (vec_id)) GROUP BY c, i),
+m{n} AS MATERIALIZED (SELECT m.c, coalesce(y.x, m.x) AS x FROM m{k} AS m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM u{k} GROUP BY c) AS y USING (c))"""
+    steps = ",\n".join(f"{assign.format(k=k)},\n{update.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x : CAST(floor(64e0 * x) AS BIGINT)) AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)),
+{steps},
+{assign.format(k=rounds)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN m{rounds} AS m USING (c)"""
+
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL = {
@@ -113,4 +155,14 @@ c AS (SELECT d.*, n, target, CAST(floor(target) AS BIGINT) AS flow,
 SELECT doc_id, size, n AS source_size, target,
        CAST(size * (flow // greatest(n, 1) + CASE WHEN upto <= flow % greatest(n, 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c""",
+    "op12_clustering": _clustering_sql(),
+    "op13_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256e0 * x)) AS x
+      FROM embeddings WHERE label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = 64),
+s AS MATERIALIZED (SELECT a.id AS a, o.id AS o, a.label = o.label AS same, CAST(list_dot_product(a.x, o.x) AS BIGINT) AS score
+      FROM v a JOIN v o ON a.id <> o.id WHERE a.id % 100 = 0),
+p AS (SELECT a, o AS positive, score AS p FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, o) <= 5)
+SELECT a AS anchor_id, positive AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, o AS negative_id, p AS positive_score, score AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 80 * p <= 100 * score AND score <= p
+WINDOW w AS (PARTITION BY a, positive ORDER BY score DESC, o) QUALIFY row_number() OVER w <= 5""",
 }
