@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from logsift.functions.parsing import soft_threshold
 from logsift.operators import features, metrics, models, persistence, sequences, splits, thresholds
 from logsift.plans.registry import query, r6
-from logsift.plans.relational import CELLS_SQL, POS_SQL, cells
+from logsift.plans.relational import CELLS_SQL, MINED_SQL, POS_SQL, cells, content
 from logsift.session import discard, materialize, shared_dir
-from logsift.streaming import windows
-from logsift.views import EVENTS_SQL, SCORED_SQL, log_events, scored, session_labels, vec64
+from logsift.streaming import stateful, windows
+from logsift.views import EVENTS_SQL, SCORED_SQL, as_log, log_events, scored, session_labels, vec64
 
 #: Rows that the autoencoder, the forests and the one-class model are fitted on, at most.
 FIT_ROWS = 5_000
@@ -347,6 +347,21 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
     return held.select(F.col("user_id").alias("node"), "n_events", F.unix_timestamp(F.col("w.start")).alias("start_s"))
 
 
+@query("stream_fixed_count", f"WITH {EVENTS_SQL}, f AS (SELECT *, (row_number() OVER (PARTITION BY node ORDER BY ts_s, line_id) - 1) // 10 AS window_no FROM e) SELECT node, window_no, count(*) AS n, max(y) AS y FROM f GROUP BY ALL")
+def stream_fixed_count(spark: SparkSession, d: str) -> DataFrame:
+    held = lambda e: stateful.fixed_count(as_log(e).withColumnRenamed("line_id", "id"), 10, "node", "300 days")
+    return windows.drain_windows(spark, f"{d}/events.parquet", "10 minutes", "fixed", held)
+
+
+@query("stream_drain", MINED_SQL)
+def stream_drain(spark: SparkSession, d: str) -> DataFrame:
+    """Templates as the stream leaves them: the last of each cluster."""
+    lines = as_log(windows.with_time(windows.stream_table(spark, f"{d}/events.parquet"), "10 minutes"))
+    found = windows.drain(stateful.online_templates(lines.select("line_id", "ts", content().alias("content"))), "drain")
+    last = found.groupBy("cluster").agg(F.max_by("template", "line_id").alias("template"), F.count("*").alias("n"))
+    return last.select(F.substring(F.md5("template"), 1, 8).alias("template_id"), "template", "cluster", "n")
+
+
 @query("stream_alerts", "SELECT event_id, user_id AS node FROM events WHERE value * 2e0 > 300")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     params = spark.createDataFrame([(1, 2.0, 300.0)], "model int, factor double, theta double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions import parsing
@@ -13,6 +13,7 @@ from logsift.operators.ranks import quantiles, shuffle_key
 from logsift.plans.registry import one_row, query, r6
 from logsift.session import shared_dir
 from logsift.sources import logs
+from logsift.sources.templates import Tree
 from logsift.views import EVENTS_SQL, FIVE_MINUTES, SCORED_SQL, SESSIONS_SQL, SIX_HOURS, WEEK, log_events, log_sessions, scored, session_labels, table, vec64
 
 LINES_SQL = f"WITH {EVENTS_SQL}\n"
@@ -39,12 +40,34 @@ def src_template_mask(spark: SparkSession, d: str) -> DataFrame:
     return e.select(logs.masked(text).alias("template")).groupBy("template").agg(F.count("*").alias("n"))
 
 
-@query("src_drain")
+def content() -> Column:
+    """A message of a log event. Masked messages of two event types differ in their first token, so that each is a leaf of one text."""
+    return F.concat_ws(" ", "event_id", F.lit("on"), F.concat(F.lit("node"), F.col("node") % 3), F.lit("took"), F.col("k").cast("string"), F.lit("ms"))
+
+
+MINED_SQL = f"""{LINES_SQL}, m AS (SELECT line_id, regexp_replace(event_id || ' on node' || node % 3 || ' took ' || k || ' ms', '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS template FROM e)
+SELECT substr(md5(template), 1, 8) AS template_id, template, min(line_id) AS cluster, count(*) AS n FROM m GROUP BY template"""
+
+
+@query("src_drain", MINED_SQL)
 def src_drain(spark: SparkSession, d: str) -> DataFrame:
-    e = log_events(spark, d)
-    content = F.concat_ws(" ", "event_id", F.lit("on"), F.concat(F.lit("node"), F.col("node") % 3), F.lit("took"), F.col("k").cast("string"), F.lit("ms"))
-    found = logs.mine_templates(e.select("line_id", content.alias("content")))
-    return found.groupBy("template_id", "template").agg(F.count("*").alias("n"))
+    found = logs.mine_templates(log_events(spark, d).select("line_id", content().alias("content")))
+    return found.groupBy("template_id", "template", "cluster").agg(F.count("*").alias("n"))
+
+
+#: Texts of five tokens: a leaf for each event type, in which the node's group and the value's vary, and merge into one template.
+TREE_SQL = f"""{LINES_SQL}, t AS (SELECT line_id, split_part(event_id, '_', 1) AS kind, 'shard-' || chr(CAST(97 + node % 26 AS INTEGER)) AS shard, 'grade-' || chr(CAST(97 + k % 4 AS INTEGER)) AS grade FROM e)
+SELECT kind || ' from ' || CASE WHEN count(DISTINCT shard) > 1 THEN '<*>' ELSE min(shard) END || ' had ' || CASE WHEN count(DISTINCT grade) > 1 THEN '<*>' ELSE min(grade) END AS template,
+       min(line_id) AS cluster, count(*) AS n FROM t GROUP BY kind"""
+
+
+@query("src_drain_tree", TREE_SQL)
+def src_drain_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of many distinct texts, dealt to buckets of about eight and merged again."""
+    sign = lambda name, k, n: F.concat(F.lit(f"{name}-"), F.char(97 + k % n))
+    text = F.concat_ws(" ", F.substring_index("event_id", "_", 1), F.lit("from"), sign("shard", F.col("node"), 26), F.lit("had"), sign("grade", F.col("k"), 4))
+    found = logs.mine_templates(log_events(spark, d).select("line_id", text.alias("content")), Tree(split=8))
+    return found.groupBy("template", "cluster").agg(F.count("*").alias("n"))
 
 
 @query("src_csv_roundtrip", "SELECT event_id, user_id, event_type, value FROM events")

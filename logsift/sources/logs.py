@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.sources.templates import Tree, cluster_texts
+
 #: Fixed masks of variable parts: pattern and what stands for it, in this order.
 MASKS = (
     (r"0x[0-9a-fA-F]+", "<hex>"),
@@ -37,41 +38,12 @@ def masked(text: Column) -> Column:
     return text
 
 
-class _Leaf:
-    """Templates of lines of one length and first token, merged while enough tokens agree."""
-
-    def __init__(self, similarity: float) -> None:
-        self.similarity, self.templates = similarity, []
-
-    def add(self, tokens: list[str]) -> int:
-        best, most = -1, -1.0
-        for k, t in enumerate(self.templates):
-            same = sum(a == b for a, b in zip(t, tokens, strict=True)) / max(len(tokens), 1)
-            if same > most:
-                best, most = k, same
-        if best < 0 or most < self.similarity:
-            self.templates.append(list(tokens))
-            return len(self.templates) - 1
-        self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates[best], tokens, strict=True)]
-        return best
-
-
-def mine_templates(lines: DataFrame, similarity: float = 0.5, text: str = "content", line_id: str = "line_id") -> DataFrame:
-    """(line_id, template, template_id): greedy clustering of masked lines, in the order of their ids in each leaf of
-    token count and first token. Lines of equal masked text are clustered once, so a leaf holds distinct texts only.
-    """
-    held = lines.select(line_id, masked(F.col(text)).alias("masked"))
-    distinct = held.groupBy("masked").agg(F.min(line_id).alias("first"))
-    tokens = F.split("masked", " ")
-    leaf = distinct.select("masked", "first", F.size(tokens).alias("size"), tokens[0].alias("head"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, tree = pdf.sort_values("first"), _Leaf(similarity)
-        which = [tree.add(m.split(" ")) for m in pdf.masked]
-        return pd.DataFrame({"masked": pdf.masked, "template": [" ".join(tree.templates[k]) for k in which]})
-
-    found = leaf.groupBy("size", "head").applyInPandas(cluster, "masked string, template string")
-    return held.join(found, "masked").select(line_id, "template", F.substring(F.md5("template"), 1, 8).alias("template_id"))
+def mine_templates(lines: DataFrame, tree: Tree | None = None, text: str = "content", line_id: str = "line_id") -> DataFrame:
+    """(line_id, cluster, template, template_id): lines with the template that their masked text joined; cluster: the first line
+    of the template. Lines of equal masked text are clustered once; a line without a text or an id has none and is left out."""
+    held = lines.select(line_id, masked(F.col(text)).alias("masked")).where(F.col("masked").isNotNull() & F.col(line_id).isNotNull())
+    found = cluster_texts(held.groupBy("masked").agg(F.min(line_id).alias("first")), tree or Tree())
+    return held.join(found, "masked").select(line_id, "cluster", "template", F.substring(F.md5("template"), 1, 8).alias("template_id"))
 
 
 def read_raw(spark, path: str, layout: str) -> DataFrame:

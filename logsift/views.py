@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured windowed log: line_id, node, ts_s (unix seconds), event_id (30 templates), value, y."""
-    e = table(spark, sf_dir, "events")
+    return as_log(table(spark, sf_dir, "events"))
+
+
+def as_log(e: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return e.select(
         F.col("event_id").alias("line_id"), F.col("user_id").alias("node"), F.unix_timestamp("ts").alias("ts_s"),
-        F.concat_ws("_", "event_type", (k % 6).cast("string")).alias("event_id"), "value", (F.col("value") > 200).cast("int").alias("y"), k.alias("k"),
+        F.concat_ws("_", "event_type", (k % 6).cast("string")).alias("event_id"), "value", (F.col("value") > 200).cast("int").alias("y"), k.alias("k"), "ts",
     )
 
 
