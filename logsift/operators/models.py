@@ -414,6 +414,13 @@ class OneClass:
     a: np.ndarray
     rho: float
 
+    @classmethod
+    def drawn(cls, d: int, variance: float, features: int, seed: int) -> OneClass:
+        """Random features, before a fit."""
+        rng = np.random.default_rng(seed)
+        gamma = 1 / (d * max(variance, 1e-12))
+        return cls(rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features), 0.0)
+
     def features(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(2 / len(self.phase)) * np.cos(x @ self.w + self.phase)
 
@@ -421,10 +428,9 @@ class OneClass:
         return self.rho - self.features(x) @ self.a
 
 
-def fit_one_class(x: np.ndarray, nu: float = 0.05, features: int = 256, seed: int = 42, steps: int = 400) -> OneClass:
-    rng = np.random.default_rng(seed)
-    gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
-    m = OneClass(rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features), 0.0)
+def fit_one_class(x: np.ndarray, nu: float = 0.05, features: int = 256, seed: int = 42, steps: int = 400, variance: float | None = None) -> OneClass:
+    """variance: of the numbers that the width of the kernel is for; of x, if it is not given."""
+    m = OneClass.drawn(x.shape[1], x.var() if variance is None else variance, features, seed)
     z = m.features(x)
     m.a = z.mean(0)
     for t in range(1, steps + 1):
