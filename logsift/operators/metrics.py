@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.ranks import running_sums
+from logsift.operators.ranks import running_sums, running_sums_by
 
 CELLS = {"tp": (1, 1), "fp": (1, 0), "fn": (0, 1), "tn": (0, 0)}
 
@@ -25,21 +25,22 @@ def precision_recall(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def _by_score(df: DataFrame, col: str, descending: bool) -> DataFrame:
-    """(score, p, n, cp, cn): positives and negatives of each distinct score, and their running sums."""
-    groups = df.groupBy(F.col(col).alias("score")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    return running_sums(groups, [F.col("score").desc() if descending else F.col("score")], {"cp": F.col("p"), "cn": F.col("n")})
+def _by_score(df: DataFrame, col: str, descending: bool, by: list[str]) -> DataFrame:
+    """(by, score, p, n, cp, cn): positives and negatives of each distinct score of a group, and their running sums."""
+    groups = df.groupBy(*by, F.col(col).alias("score")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    order, sums = [F.col("score").desc() if descending else F.col("score")], {"cp": F.col("p"), "cn": F.col("n")}
+    return running_sums_by(groups, by, order, sums) if by else running_sums(groups, order, sums)
 
 
-def average_precision(df: DataFrame, col: str = "err") -> DataFrame:
-    """Sum over distinct scores, falling, of the recall's step times the precision."""
-    rows = _by_score(df, col, True)
+def average_precision(df: DataFrame, col: str = "err", by: list[str] | None = None) -> DataFrame:
+    """Sum over distinct scores, falling, of the recall's step times the precision; a row for each group."""
+    rows = _by_score(df, col, True, by or [])
     step = F.col("p") * F.col("cp").cast("double") / (F.col("cp") + F.col("cn"))
-    return rows.agg(ratio(F.sum(step), F.sum("p")).alias("average_precision"))
+    return rows.groupBy(*(by or [])).agg(ratio(F.sum(step), F.sum("p")).alias("average_precision"))
 
 
-def roc_auc(df: DataFrame, col: str = "err") -> DataFrame:
-    """Share of pairs of an anomaly and a normal that scores order rightly; ties count half."""
-    rows = _by_score(df, col, False)
+def roc_auc(df: DataFrame, col: str = "err", by: list[str] | None = None) -> DataFrame:
+    """Share of pairs of an anomaly and a normal that scores order rightly; ties count half; a row for each group."""
+    rows = _by_score(df, col, False, by or [])
     right = F.col("p") * (F.col("cn") - F.col("n") + F.col("n") / 2.0)
-    return rows.agg(ratio(F.sum(right), F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"))
+    return rows.groupBy(*(by or [])).agg(ratio(F.sum(right), F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.ranks import quantiles, running_sums
+from logsift.operators.ranks import quantiles, quantiles_by, running_sums
 
 
 def percentile(df: DataFrame, q: float, col: str = "err") -> float | None:
@@ -73,21 +73,55 @@ def candidates(n: int = 200, low: float = 0.8, high: float = 0.999) -> list[floa
     return [low + (high - low) * k / (n - 1) for k in range(n)]
 
 
+def best_f1(found: pd.DataFrame) -> tuple[float, float]:
+    """The first of rows (value, p, n, p_all, n_all) with the greatest F1 of flagging what is above value, and that F1; p and n:
+    anomalies and others that are not above."""
+    tp, fp = (found.p_all - found.p).to_numpy(float), (found.n_all - found.n).to_numpy(float)
+    f1 = 2 * tp / np.maximum(tp + fp + found.p_all.to_numpy(float), 1)
+    k = int(f1.argmax())
+    return float(found.value.iloc[k]), float(f1[k])
+
+
+#: Anomalies and others, to be summed up with quantiles.
+LABELS = {"p": "CAST(y = 1 AS LONG)", "n": "CAST(coalesce(y, 0) <> 1 AS LONG)"}
+
+
 def mode_b(df: DataFrame, col: str = "err", n: int = 200) -> tuple[float, float]:
-    """The first of n quantiles of all validation scores with the greatest F1, and that F1; one pass over the rows."""
-    thetas = quantiles(df, col, candidates(n))
-    best = (thetas[0], -1.0)
-    flagged = F.transform(F.array(*[F.lit(t) for t in thetas]), lambda t: (F.col(col) > t).cast("int"))
-    rows = df.select("y", F.aggregate(flagged, F.lit(0), lambda a, x: a + x).alias("above"))  # thresholds ascend
-    counts = {(r["above"], r["y"]): r["n"] for r in rows.groupBy("above", "y").agg(F.count("*").alias("n")).collect()}
-    positive = sum(c for (_, y), c in counts.items() if y == 1)
-    for k, theta in enumerate(thetas):
-        tp = sum(c for (a, y), c in counts.items() if a > k and y == 1)
-        fp = sum(c for (a, y), c in counts.items() if a > k and y != 1)
-        f1 = 2 * tp / (tp + fp + positive) if tp else 0.0
-        if f1 > best[1]:
-            best = (theta, f1)
-    return best
+    """The first of n quantiles of all validation scores with the greatest F1, and that F1; flags are counted by rank."""
+    return best_f1(quantiles_by(df, col, candidates(n), [], LABELS))
+
+
+def mode_a_by(df: DataFrame, by: list[str], t: Tail | None = None, col: str = "err") -> pd.DataFrame:
+    """mode_a() for each group: (by, theta, fallback), groups on the driver."""
+    t = t or Tail()
+    cuts = quantiles_by(df, col, sorted({t.q, t.fallback, 0.995}), by)
+    wide = {q: cuts[cuts.q == q].set_index(by).value for q in {t.q, t.fallback, 0.995}}
+    params = df.sparkSession.createDataFrame(cuts[cuts.q == t.q].rename(columns={"value": "u"})[[*by, "u"]])
+    excess = F.when(F.col(col) > F.col("u"), F.col(col) - F.col("u"))
+    got = df.join(F.broadcast(params), by).groupBy(*by).agg(  # a row for each group
+        F.count(col).alias("n"), F.count(excess).alias("over"), F.avg(excess).alias("mean"), F.var_pop(excess).alias("var"), F.min(col).alias("low"),
+        F.max(col).alias("high"), F.first("u").alias("u"),
+    ).toPandas()
+    out = []
+    for r in got.itertuples(index=False):
+        key = tuple(getattr(r, c) for c in by)
+        at = key if len(by) > 1 else key[0]
+        if r.over < t.least or r.var == 0:
+            theta = wide[t.fallback][at]
+        else:
+            try:
+                theta = tail_threshold(r.u, r.over / r.n, r.mean, r.var, t)
+            except (ArithmeticError, ValueError):
+                theta = math.nan
+        failed = bool(math.isnan(theta) or math.isinf(theta) or theta <= r.low or theta > 5 * r.high)
+        out.append((*key, float(wide[0.995][at] if failed else theta), failed))
+    return pd.DataFrame(out, columns=[*by, "theta", "fallback"])
+
+
+def mode_b_by(df: DataFrame, by: list[str], col: str = "err", n: int = 200) -> pd.DataFrame:
+    """mode_b() for each group: (by, theta, f1), groups on the driver."""
+    found = quantiles_by(df, col, candidates(n), by, LABELS)
+    return pd.DataFrame([(*(key if isinstance(key, tuple) else (key,)), *best_f1(part)) for key, part in found.groupby(by)], columns=[*by, "theta", "f1"])
 
 
 def top_fraction(df: DataFrame, fraction: float = 0.05, col: str = "err", tie: str = "seq_id") -> DataFrame:

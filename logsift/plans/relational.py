@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import parsing
 from logsift.operators import features, sequences, splits, thresholds
-from logsift.operators.ranks import quantiles, shuffle_key
+from logsift.operators.ranks import quantiles, quantiles_by, running_sums, shuffle_key
 from logsift.plans.registry import one_row, query, r6
 from logsift.session import shared_dir
 from logsift.sources import logs
@@ -316,9 +316,10 @@ def agg_distinct_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("diag_score_distribution", f"WITH {SCORED_SQL} SELECT y, round(min(err), 6) AS low, round(quantile_cont(err, 0.05), 6) AS p5, round(quantile_cont(err, 0.5), 6) AS median, round(quantile_cont(err, 0.95), 6) AS p95, round(max(err), 6) AS high FROM r GROUP BY y")
 def diag_score_distribution(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("err", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    rows = scored(spark, d).groupBy("y").agg(F.min("err").alias("low"), q.alias("q"), F.max("err").alias("high"))
-    return rows.select("y", r6("low").alias("low"), r6(F.col("q")[0]).alias("p5"), r6(F.col("q")[1]).alias("median"), r6(F.col("q")[2]).alias("p95"), r6("high").alias("high"))
+    found = quantiles_by(scored(spark, d), "err", [0.0, 0.05, 0.5, 0.95, 1.0], ["y"]).pivot(index="y", columns="q", values="value")
+    rows = [(int(y), *map(float, v)) for y, v in zip(found.index, found.to_numpy(), strict=True)]  # a row for each label
+    names = ("low", "p5", "median", "p95", "high")
+    return spark.createDataFrame(rows, f"y int, {', '.join(f'{c} double' for c in names)}").select("y", *[r6(c).alias(c) for c in names])
 
 
 @query("diag_histogram", f"""WITH {SCORED_SQL}, h AS (SELECT y, CAST(least(floor(err / 400e0 * 79), 78) AS INT) AS bin FROM r WHERE err BETWEEN 0 AND 400)
@@ -381,8 +382,8 @@ def topk_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query("feat_bigram_vocab", f"WITH {BIGRAM_SQL} SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS col_idx FROM (SELECT DISTINCT a, b FROM b)")
 def feat_bigram_vocab(spark: SparkSession, d: str) -> DataFrame:
-    pairs = session_bigrams(spark, d).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("v"))  # a vocabulary, not rows
-    return pairs.select(F.posexplode("v").alias("col_idx", "p")).select("p.a", "p.b", F.col("col_idx").cast("long"))
+    pairs = session_bigrams(spark, d).select("a", "b").distinct()
+    return running_sums(pairs, [F.col("a"), F.col("b")], {"rn": F.lit(1)}).select("a", "b", (F.col("rn") - 1).alias("col_idx"))
 
 
 @query("set_distinct_bigrams", f"WITH {BIGRAM_SQL} SELECT DISTINCT a, b FROM b")
