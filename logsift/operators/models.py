@@ -66,13 +66,73 @@ def gram(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def fit_pca(rows: DataFrame, k: int, center: bool = True, x: str = "x") -> Subspace:
-    n, s, g = gram(rows, x)
+    return subspace(*gram(rows, x), k, center)
+
+
+def gram_by(rows: DataFrame, by: str, x: str = "x") -> dict:
+    """gram() of each group in one pass; groups, a d by d matrix each, come to the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            keys = np.array(b.column(0).to_pylist(), object)
+            for key in set(keys.tolist()):
+                part = b.column(1).filter(pa.array(keys == key))
+                m = part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), -1)
+                n, s, g = held.get(key, (0, 0.0, 0.0))
+                held[key] = (n + len(m), s + m.sum(0), g + m.T @ m)
+        for key, (n, s, g) in held.items():
+            yield pa.RecordBatch.from_pylist([{"key": key, "v": [float(n), *s.tolist(), *g.ravel().tolist()]}], pa.schema([("key", kind), ("v", pa.list_(pa.float64()))]))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(rows.schema[by].dataType)
+    made = rows.where(F.col(x).isNotNull()).select(by, x).mapInArrow(add, f"key {rows.schema[by].dataType.simpleString()}, v array<double>")
+    sums = made.select("key", F.posexplode("v").alias("k", "v")).groupBy("key", "k").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for key, part in sums.groupby("key"):
+        v = part.sort_values("k").v.to_numpy()
+        d = int((np.sqrt(4 * len(v) - 3) - 1) / 2)
+        out[key] = (int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d))
+    return out
+
+
+def subspace(n: int, s: np.ndarray, g: np.ndarray, k: int, center: bool = True) -> Subspace:
     mean = s / n if center else np.zeros(len(s))
     values, vectors = np.linalg.eigh(g - n * np.outer(mean, mean))
     order = np.argsort(values)[::-1]
     return Subspace(mean, vectors[:, order[:k]].T, np.maximum(values[order], 0))
 
 
+def fit_pca_by(rows: DataFrame, by: str, k: int, x: str = "x") -> dict:
+    """A subspace for each group, all from one pass."""
+    return {key: subspace(*sums, k) for key, sums in gram_by(rows, by, x).items()}
+
+
+def residuals_by(rows: DataFrame, spaces: dict, by: str, ks: list[int] | None = None, x: str = "x") -> DataFrame:
+    """rows with err, the residual against the subspace of the row's group; with ks, err is an array of the residuals against its
+    first k directions for each k, from one product with all directions (which spaces must then hold). All in one pass."""
+    held = rows.sparkSession.sparkContext.broadcast(spaces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            err = np.full((len(b), len(ks) if ks else 1), np.nan)
+            there, groups = b.column(x).is_valid().to_numpy(zero_copy_only=False), np.array(b.column(by).to_pylist(), object)
+            for key, space in held.value.items():
+                mine = there & (groups == key)
+                if mine.any():
+                    z = b.column(x).filter(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(int(mine.sum()), -1) - space.mean
+                    if ks:
+                        rest = np.cumsum(((z @ space.basis.T) ** 2)[:, ::-1], 1)[:, ::-1]  # of direction k and all after it
+                        err[mine] = np.sqrt(np.concatenate([rest, np.zeros((len(z), 1))], 1)[:, ks])
+                    else:
+                        err[mine, 0] = np.linalg.norm(z - z @ space.basis.T @ space.basis, axis=1)
+            column = pa.array(list(err), pa.list_(pa.float64())) if ks else pa.array(err[:, 0], pa.float64(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, "err"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, err {'array<double>' if ks else 'double'}")
+
+
 def smallest_rank(energy: np.ndarray, share: float = 0.95, most: int = 9) -> int:
     """Least number of components that hold the share of the energy, from 1 to the rank and at most ``most``."""
     held = energy[energy > 0]

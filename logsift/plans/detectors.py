@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions.parsing import soft_threshold
-from logsift.operators import features, metrics, models, persistence, sequences, splits, thresholds
+from logsift.operators import evaluation, features, metrics, models, persistence, sequences, splits, thresholds, training
+from logsift.operators.ranks import quantiles_by
 from logsift.plans.registry import query, r6
 from logsift.plans.relational import CELLS_SQL, MINED_SQL, POS_SQL, cells, content
-from logsift.session import discard, materialize, shared_dir
+from logsift.session import materialize, shared_dir
 from logsift.streaming import stateful, windows
 from logsift.views import EVENTS_SQL, SCORED_SQL, as_log, log_events, scored, session_labels, vec64
 
-#: Rows that the autoencoder, the forests and the one-class model are fitted on, at most.
-FIT_ROWS = 5_000
+#: Rows that forests draw theirs from, at most: as many as the 100 samples of 256 rows that the method itself draws.
+FOREST_ROWS = 25_600
 
 # --- the flagship: event counts, unit length, residual against a fixed subspace, top 5 % -----------------------
 
@@ -70,12 +71,6 @@ def model_zscore_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return models.zscore_ensemble(long, stats).select("seq_id", (F.round("err", 5) + F.lit(0.0)).alias("err"))
 
 
-@query("model_seed_ensemble", f"WITH {SCORED_SQL}, m AS (SELECT seq_id, err + sin(seq_id * seed) AS err FROM r, range(42, 47) AS q(seed)) SELECT seq_id, round(avg(err), 5) AS err FROM m GROUP BY seq_id")
-def model_seed_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).select("seq_id", "err", F.explode(F.sequence(F.lit(42), F.lit(46))).alias("seed"))
-    return rows.groupBy("seq_id").agg(F.round(F.avg(F.col("err") + F.sin(F.col("seq_id") * F.col("seed"))), 5).alias("err"))
-
-
 @query("model_dynamic_k", f"""WITH {POS_SQL}, v AS (SELECT k, sum(v * v) AS energy FROM x GROUP BY k),
 c AS (SELECT row_number() OVER (ORDER BY energy DESC) AS i, sum(energy) OVER (ORDER BY energy DESC ROWS UNBOUNDED PRECEDING) / sum(energy) OVER () AS share FROM v)
 SELECT CAST(least(min(i) FILTER (share >= 0.5), 40) AS BIGINT) AS k FROM c""")
@@ -153,23 +148,13 @@ def fold_roles(spark: SparkSession, d: str) -> DataFrame:
 @query("eval_pca_folds")
 def eval_pca_folds(spark: SparkSession, d: str) -> DataFrame:
     """A whole evaluation: in each fold a subspace is fitted on training normals, its threshold set on validation normals
-    (mode A), and all test rows are flagged and graded. Roles are dealt once, by id; a fold's vectors are joined to them
-    when they are fitted or scored."""
-    roles, vectors = materialize(fold_roles(spark, d)), vec64(spark, d).select("seq_id", "x")
-    rows = []
-    for fold in range(1, FOLDS + 1):
-        mine = vectors.join(roles.where(F.col("fold") == fold).drop("fold"), "seq_id")
-        space = models.fit_pca(mine.where("role = 'train'"), 6)
-        scores = materialize(mine.where("role = 'test' OR role = 'val' AND y = 0").select("role", "y", space.residual(F.col("x")).alias("err")))
-        theta, fallback = thresholds.mode_a(scores.where("role = 'val'"))
-        test = scores.where("role = 'test'")
-        graded = metrics.precision_recall(metrics.confusion(test.withColumn("flag", (F.col("err") > theta).cast("int")))).first()
-        ranked = (metrics.average_precision(test).first()[0], metrics.roc_auc(test).first()[0])
-        rows.append((fold, *[graded[c] for c in metrics.CELLS], *[round(v, 6) for v in (graded["precision"], graded["recall"], graded["f1"], *ranked)], bool(fallback)))
-        discard(scores)
-    discard(roles)
-    counts = ", ".join(f"{c} long" for c in metrics.CELLS)
-    return spark.createDataFrame(rows, f"fold long, {counts}, precision double, recall double, f1 double, average_precision double, roc_auc double, fallback boolean")
+    (mode A), and all test rows are flagged and graded. All folds go through the same jobs."""
+    rows = materialize(vec64(spark, d).select("seq_id", "x").join(fold_roles(spark, d), "seq_id").where("role <> 'unused'"))
+    spaces = models.fit_pca_by(rows.where("role = 'train'"), "fold", 6)
+    scores = materialize(models.residuals_by(rows.where("role <> 'train'"), spaces, "fold").drop("x"))
+    found = evaluation.grades(scores, ["fold"]).where("mode = 'A' AND view = 'natural'")
+    measures = ("precision", "recall", "f1", "average_precision", "roc_auc")
+    return found.select("fold", *metrics.CELLS, *[r6(c).alias(c) for c in measures], "fallback")
 
 
 @query("model_rpca")
@@ -186,10 +171,10 @@ def model_rpca_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _f1(rows: DataFrame, by: str, q: float = 0.95) -> DataFrame:
-    """(by, f1) of rows (by, y, err): those above the q-quantile of their group are flagged."""
-    cut = rows.groupBy(by).agg(F.percentile("err", F.lit(q)).alias("theta"))
-    flags = rows.join(F.broadcast(cut), by).withColumn("flag", (F.col("err") > F.col("theta")).cast("int"))  # a row for each configuration
-    return metrics.precision_recall(metrics.confusion(flags, [by])).select(by, "f1")
+    """(by, f1) of rows (by, y, err): those above the q-quantile of their group are flagged, which are counted by rank."""
+    found = quantiles_by(rows, "err", [q], [by], thresholds.LABELS)
+    f1 = [(int(r[0]), thresholds.best_f1(found.iloc[[i]])[1]) for i, r in enumerate(found[[by]].itertuples(index=False))]
+    return rows.sparkSession.createDataFrame(f1, f"{by} int, f1 double")
 
 
 def _graded(spark: SparkSession, d: str, score: Callable[[int, np.ndarray], np.ndarray], configs: list[dict], schema: str, digits: int) -> DataFrame:
@@ -234,89 +219,161 @@ def model_rpca_transductive(spark: SparkSession, d: str) -> DataFrame:
 
 @query("model_ae_score")
 def model_ae_score(spark: SparkSession, d: str) -> DataFrame:
-    net = models.fit_autoencoder(models.sample(normals(spark, d), FIT_ROWS))
-    return rounded(models.score_batches(held_rows(spark, d), net.errors))
+    nets = training.fit_networks(normals(spark, d), [training.Setup()])
+    return rounded(training.score_networks(held_rows(spark, d), nets))
+
+
+SEEDS = (42, 43, 44, 45, 46)
+
+
+@query("model_seed_ensemble")
+def model_seed_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """Networks of five seeds, fitted in the same jobs; a row's score is the mean of theirs, taken in its task."""
+    nets = training.fit_networks(normals(spark, d), [training.Setup(seed=s) for s in SEEDS])
+    return rounded(training.score_networks(held_rows(spark, d), nets))
+
+
+@query("eval_seeds")
+def eval_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of each seed's network and of their mean, thresholds from validation rows: seed 0 is the ensemble."""
+    rows = materialize(vec64(spark, d).select("seq_id", "x").join(fold_roles(spark, d).where("fold = 1 AND role <> 'unused'").drop("fold"), "seq_id"))
+    nets = training.fit_networks(rows.where("role = 'train'"), [training.Setup(seed=s) for s in SEEDS])[0]
+    held = spark.sparkContext.broadcast(nets)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                errs = np.array([n.errors(np.array(b.x.tolist(), float)) for n in held.value])
+                for seed, err in zip((0, *SEEDS), (errs.mean(0), *errs), strict=True):
+                    yield pd.DataFrame({"seed": seed, "seq_id": b.seq_id, "role": b.role, "y": b.y, "err": err})
+
+    scores = materialize(rows.where("role <> 'train'").mapInPandas(each, "seed long, seq_id long, role string, y int, err double"))
+    found = evaluation.grades(scores, ["seed"]).where("view = 'natural'")
+    return found.select("seed", "mode", "fallback", *metrics.CELLS, *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1", "average_precision", "roc_auc")])
 
 
 @query("model_iforest")
 def model_iforest(spark: SparkSession, d: str) -> DataFrame:
-    forest = models.fit_forest(models.sample(normals(spark, d), FIT_ROWS))
+    forest = models.fit_forest(models.sample(normals(spark, d), FOREST_ROWS))
     return rounded(models.score_batches(held_rows(spark, d), forest.scores))
 
 
 @query("model_hybrid")
 def model_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Second stages fitted on what robust decomposition leaves of all training rows."""
     found = models.robust_pca_rows(normals(spark, d), center=True)
-    low, mean = models.sample(found.low_rows(), FIT_ROWS), found.mean
-    fitted = {"forest": models.fit_forest(low), "one_class": models.fit_one_class(low)}
+    low, mean = materialize(found.low_rows()), found.mean
+    net = training.fit_networks(low, [training.Setup((16, 8, 16))])[0][0]
+    fitted = {"forest": models.fit_forest(models.sample(low, FOREST_ROWS)).scores, "one_class": training.fit_one_class_rows(low).scores, "autoencoder": net.errors}
     out = None
     for name, m in fitted.items():
-        rows = models.score_batches(held_rows(spark, d), lambda z, m=m: m.scores(z - mean)).select("seq_id", F.lit(name).alias("model"), F.round("err", 4).alias("err"))
+        rows = models.score_batches(held_rows(spark, d), lambda z, m=m: m(z - mean)).select("seq_id", F.lit(name).alias("model"), F.round("err", 4).alias("err"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 @query("sel_pca_k")
 def sel_pca_k(spark: SparkSession, d: str) -> DataFrame:
-    """One decomposition for all k: errors are prefix sums of the squared coordinates."""
-    space = models.fit_pca(normals(spark, d), 48)
-    centred = features.minus(F.col("x"), models.array(space.mean))
-    parts = F.array(*[features.dot(centred, models.array(p)) for p in space.basis])
-    grid = (2, 4, 6, 8, 12, 16, 20, 24, 32, 48)
-    whole = features.norm(centred)
-    errs = F.array(*[F.struct(F.lit(k).alias("k"), F.sqrt(F.greatest(whole * whole - features.dot(F.slice(parts, 1, k), F.slice(parts, 1, k)), F.lit(0.0))).alias("err")) for k in grid])
-    rows = held_rows(spark, d).select("y", F.explode(errs).alias("e")).select("y", "e.*")
-    cut = rows.where("y = 0").groupBy("k").agg(F.percentile("err", F.lit(0.95)).alias("theta"))
-    flags = rows.join(F.broadcast(cut), "k").withColumn("flag", (F.col("err") > F.col("theta")).cast("int"))  # a row for each k
-    found = metrics.precision_recall(metrics.confusion(flags, ["k"]))
-    return found.select("k", r6("f1").alias("f1"))
+    """F1 of each number of directions on validation rows, with mode A's threshold from validation normals, and the first best.
+    One decomposition of the training normals of the first fold, and one product for each row, serve all of them."""
+    ks = [2, 4, 6, 8, 12, 16, 20, 24, 32, 48]
+    rows = vec64(spark, d).select("seq_id", "x").join(fold_roles(spark, d).where("fold = 1 AND role IN ('train', 'val')"), "seq_id")
+    rows = materialize(rows)
+    spaces = models.fit_pca_by(rows.where("role = 'train'"), "fold", 64)
+    errs = models.residuals_by(rows.where("role = 'val'"), spaces, "fold", ks)
+    scores = materialize(errs.select("y", F.posexplode("err").alias("place", "err")))
+    cuts = spark.createDataFrame(thresholds.mode_a_by(scores.where("y = 0"), ["place"])).drop("fallback")
+    flags = scores.join(F.broadcast(cuts), "place").withColumn("flag", (F.col("err") > F.col("theta")).cast("int"))  # a row for each k
+    found = {r["place"]: r["f1"] for r in metrics.precision_recall(metrics.confusion(flags, ["place"])).collect()}
+    best = max(found, key=lambda i: (found[i], -i)) if found else None
+    return spark.createDataFrame([(ks[i], round(f1, 6), i == best) for i, f1 in found.items()], "k long, f1 double, chosen boolean")
 
 
 @query("diag_k_sweep")
 def diag_k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    space = models.fit_pca(normals(spark, d), 15)
+    """F1 of k directions of plain and of robust decomposition over all held rows, and how the robust one ended."""
+    plain = models.fit_pca(normals(spark, d), 15)
     found = models.robust_pca_rows(normals(spark, d))
+    values, vectors = np.linalg.eigh(found.gram_of_low())
+    robust = models.Subspace(found.mean, vectors[:, np.argsort(values)[::-1][:15]].T, np.sort(values)[::-1])
+    grid = [{"method": m, "k": k} for m in ("pca", "rpca") for k in range(2, 16)]
 
     def residual(i: int, m: np.ndarray) -> np.ndarray:
-        z, basis = m - space.mean, space.basis[: i + 2]
+        space = plain if grid[i]["method"] == "pca" else robust
+        z, basis = m - space.mean, space.basis[: grid[i]["k"]]
         return np.linalg.norm(z - z @ basis.T @ basis, axis=1)
 
-    swept = _graded(spark, d, residual, [{"k": k} for k in range(2, 16)], "k long", 6)
-    values = {"iterations": found.iterations, "converged": found.error < 1e-7, "sparse_cells": found.sparse_cells()}
-    return swept.withColumns({c: F.lit(v) if c == "converged" else F.lit(v).cast("long") for c, v in values.items()})
+    swept = _graded(spark, d, residual, grid, "method string, k long", 6)
+    cells = found.sparse_cells()
+    share = cells / (normals(spark, d).count() * len(found.mean))
+    values = {"iterations": F.lit(found.iterations).cast("long"), "converged": F.lit(found.error < 1e-7), "sparse_cells": F.lit(cells).cast("long"), "sparse_share": F.lit(round(share, 6)), "final_error": F.lit(round(found.error, 9))}
+    return swept.withColumns(values)
 
 
 @query("sel_variant_grid")
 def sel_variant_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Networks are fitted on 1,000 rows, one task for each; scores are of all held rows."""
-    fit = models.sample(normals(spark, d), 1000)
-
-    def work(c: dict) -> dict:
-        net = models.fit_autoencoder(fit, tuple(c["hidden"]), c["alpha"], c["seed"], epochs=20)
-        layers = [{"w": w.tolist(), "b": b.tolist()} for w, b in net.layers]
-        return {"hidden": "-".join(map(str, c["hidden"])), "alpha": c["alpha"], "seed": c["seed"], "mean": net.mean.tolist(), "layers": layers}
-
+    """Networks of all variants, fitted on all rows in the same jobs, and graded on all held rows."""
     grid = [{"hidden": h, "alpha": a, "seed": s} for h in ((16, 8, 16), (32, 16, 32)) for a in (1e-4, 1e-2) for s in (42, 43)]
-    named = "hidden string, alpha double, seed long"
-    made = models.run_grid(spark, grid, work, f"{named}, mean array<double>, layers array<struct<w: array<array<double>>, b: array<double>>>").collect()
-    nets = [models.Network(np.array(r["mean"]), [(np.array(p["w"]), np.array(p["b"])) for p in r["layers"]]) for r in made]
-    return _graded(spark, d, lambda i, m: nets[i].errors(m), [{c: r[c] for c in ("hidden", "alpha", "seed")} for r in made], named, 4)
+    nets = training.fit_networks(normals(spark, d), [training.Setup(c["hidden"], c["alpha"], c["seed"], epochs=20) for c in grid])[0]
+    named = [{"hidden": "-".join(map(str, c["hidden"])), "alpha": c["alpha"], "seed": c["seed"]} for c in grid]
+    return _graded(spark, d, lambda i, m: nets[i].errors(m), named, "hidden string, alpha double, seed long", 4)
 
 
-@query("feat_w2v_fit")
-def feat_w2v_fit(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.feature import Word2Vec
+# --- word vectors and evaluations with features fitted in each fold ------------------------------------------------
 
-    seqs = sequences.collect_sequences(sequences.tumbling(log_events(spark, d), 604_800), ["node", "window_id"], ["ts_s", "line_id"])
-    parts = spark.sparkContext.defaultParallelism
-    fitted = Word2Vec(vectorSize=32, windowSize=5, minCount=1, seed=42, numPartitions=parts, maxIter=1, inputCol="events", outputCol="v").fit(seqs)
-    return fitted.getVectors().select("word", F.size(_vector_array("vector")).alias("dims"))
 
+def node_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """(seq_id, start_s, events, y): the lines of a node in a week."""
+    lines = sequences.tumbling(log_events(spark, d), 604_800).withColumn("seq_id", F.col("node") * 10_000 + F.col("window_id"))
+    return sequences.collect_sequences(lines, ["seq_id"], ["ts_s", "line_id"]).join(lines.groupBy("seq_id").agg(F.min("ts_s").alias("start_s"), F.max("y").alias("y")), "seq_id")
 
-def _vector_array(col: str):
-    from pyspark.ml.functions import vector_to_array
 
-    return vector_to_array(col)
+@query("feat_w2v_fit")
+def feat_w2v_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all words of all sequences: skip-gram with negative sampling."""
+    return training.fit_words(node_weeks(spark, d)).select(F.col("term").alias("word"), "dim", r6("v").alias("v"))
+
+
+@query("feat_w2v_pool")
+def feat_w2v_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and greatest of fitted vectors, of unit length, for each sequence."""
+    rows = node_weeks(spark, d).withColumn("fold", F.lit(0))
+    found = evaluation.fit_features(rows).transform(rows.select("fold", "seq_id", "events"))
+    return found.select("seq_id", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"), "n_tokens", "n_oov")
+
+
+MEASURES = ("precision", "recall", "f1", "average_precision", "roc_auc")
+
+
+def _evaluated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Grades of two models by fold, over rows (fold, seq_id, role, y, events): vectors, means and models know training rows only."""
+    rows = materialize(rows.where("role <> 'unused'"))
+    made = evaluation.fit_features(rows.where("role = 'train'"), training.Words(epochs=2))
+    x = materialize(made.transform(rows))
+    train, rest = x.where("role = 'train'"), x.where("role <> 'train'")
+    nets = training.fit_networks(train, [training.Setup(epochs=30)], "fold")
+    scored_ = [("autoencoder", training.score_networks(rest, nets, "fold")), ("pca", models.residuals_by(rest, models.fit_pca_by(train, "fold", 6), "fold"))]
+    each = [s.select(F.lit(m).alias("model"), "fold", "seq_id", "role", "y", "err") for m, s in scored_]
+    found = evaluation.grades(materialize(each[0].unionByName(each[1])), ["model", "fold"])
+    oov = x.where("role = 'test'").groupBy("fold").agg((F.sum("n_oov") / F.sum("n_tokens")).alias("oov"))
+    found = found.join(F.broadcast(materialize(oov)), "fold")  # a row for each fold
+    return found.select("model", *by, "mode", "view", "fallback", *metrics.CELLS, *[F.round(c, 4).alias(c) for c in MEASURES], r6("oov").alias("oov"))
+
+
+@query("eval_folds")
+def eval_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Ten folds, modes A and B, natural and balanced views; features are fitted in each fold."""
+    seqs = materialize(node_weeks(spark, d))
+    roles = splits.stratified(seqs.select("seq_id", "y"), 10, 42, ["seq_id"])
+    return _evaluated(roles.join(seqs.select("seq_id", "events"), "seq_id"), ["fold"])
+
+
+@query("eval_chronological")
+def eval_chronological(spark: SparkSession, d: str) -> DataFrame:
+    """The first 70 % of the normals in time train, 10 % validate, the rest test."""
+    seqs = materialize(node_weeks(spark, d))
+    roles = splits.chronological(seqs.select("seq_id", "y", "start_s"), ["seq_id"], "start_s").withColumn("fold", F.lit(0))
+    return _evaluated(roles.join(seqs.select("seq_id", "events"), "seq_id"), [])
 
 
 # --- streams -----------------------------------------------------------------------------------------------------
