@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import LOWER, SPACE, broadcast_if_small, materialize, mix64, ngrams, pieces, text_bytes, arrow_map, word_hash, word_spans
+from logsift.llm.common import LOWER, SPACE, broadcast_if_small, materialize, mix64, ngrams, pieces, text_bytes, arrow_map, keyed_hash, run_key, word_spans
 from logsift.llm.components import connected_components
 
 
@@ -49,13 +49,14 @@ def word_sequences(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.frombuffer(digests, np.int64).reshape(-1, 2).T
 
 
-def named_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, sorted distinct shingle hashes of some texts one after the other, their n + 1 offsets, word_sequences)."""
+def named_sets(column: pa.Array, n: int, key: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, sorted distinct shingle hashes of some texts one after the other, their n + 1 offsets, word_sequences). Words
+    are hashed under the key, which shingles' hashes inherit."""
     data, offsets = text_bytes(column)
     for a, b in pieces(offsets, 1 << 19):
         raw, at = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         starts, ends, texts = word_spans(raw, at)
-        words = word_hash(raw, starts, ends)
+        words = keyed_hash(raw, starts, ends, key)
         grams, owners = ngrams(words, texts, n)
         count = np.bincount(texts, minlength=b - a)
         for k in range(1, n):  # the whole sequence, of fewer words than a shingle
@@ -74,8 +75,8 @@ def named_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield a, np.concatenate(sets) if sets else grams, out, word_sequences(raw, at)
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    return ((a, grams, offsets) for a, grams, offsets, _ in named_sets(column, n))
+def shingle_sets(column: pa.Array, n: int, key: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return ((a, grams, offsets) for a, grams, offsets, _ in named_sets(column, n, key))
 
 
 def signatures(grams: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
@@ -98,12 +99,12 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.n
     return out.T
 
 
-def _sketched(docs: DataFrame, p: Near) -> DataFrame:
+def _sketched(docs: DataFrame, p: Near, key: str) -> DataFrame:
     """(id, n, h1, h2, keys): the set's size, 128 bits that name the words, and a key for each band (none for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, grams, offsets, names in named_sets(batch.column(1), p.shingle):
+            for a, grams, offsets, names in named_sets(batch.column(1), p.shingle, key):
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
                 starts = offsets[:-1][some]
@@ -111,10 +112,10 @@ def _sketched(docs: DataFrame, p: Near) -> DataFrame:
                 if len(some):
                     signs = signatures(grams, np.append(starts, offsets[-1]), p.bands * p.rows).astype(np.uint64)
                     for band in range(p.bands):
-                        key = np.full(len(some), np.uint64(band + 1))
+                        met = np.full(len(some), np.uint64(band + 1))
                         for row in range(p.rows):
-                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, band * p.rows + row])
-                        keys[:, band] = key
+                            met = mix64(met * np.uint64(0x9E3779B97F4A7C15) + signs[:, band * p.rows + row])
+                        keys[:, band] = met
                 at = np.zeros(len(n) + 1, np.int32)
                 np.cumsum((n > 0) * p.bands, out=at[1:])
                 yield pa.RecordBatch.from_arrays(
@@ -125,19 +126,19 @@ def _sketched(docs: DataFrame, p: Near) -> DataFrame:
     return arrow_map(docs, run, "id long, n long, h1 long, h2 long, keys array<long>")
 
 
-def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _full_sets(docs: DataFrame, shingle: int, key: str) -> DataFrame:
     """(id, grams): a row's sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, grams, offsets in shingle_sets(batch.column(1), shingle):
+            for a, grams, offsets in shingle_sets(batch.column(1), shingle, key):
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(offsets) - 1), lists], names=["id", "grams"])
 
     return arrow_map(docs, run, "id long, grams array<long>")
 
 
-def _profiles(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def _profiles(texts: DataFrame, ids: DataFrame, shingle: int, key: str) -> DataFrame:
     """(id, size, core, s0, s1, ...): the size of an id's set, how many of its shingles another of the ids has too, and
     the last bits of WORDS * 64 circulant coordinates."""
 
@@ -151,7 +152,7 @@ def _profiles(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             size = pa.array(np.diff(offsets))
             yield pa.RecordBatch.from_arrays([batch.column(0), size, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["id", "size", *(f"s{k}" for k in range(WORDS))])
 
-    sets = materialize(_full_sets(texts.join(broadcast_if_small(ids), "id", "left_semi"), shingle))
+    sets = materialize(_full_sets(texts.join(broadcast_if_small(ids), "id", "left_semi"), shingle, key))
     own = sets.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     own = own.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
     signed = arrow_map(sets, run, "id long, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
@@ -165,7 +166,8 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
     p.shingle words, or the whole sequence if there are fewer. Rows whose sets reach p.percent are linked; component_id
     is the smallest id reachable, and kept says that it is the row's own.
 
-    Rows of equal words become one node first, so copies are never compared. Then, in each band's bucket, all are
+    Words are hashed under a key of the run, so that texts cannot be made for different words to meet; results do not depend
+    on it. Rows of equal words become one node first, so copies are never compared. Then, in each band's bucket, all are
     compared with one member; where a bucket still holds several components, with another member for each band; where
     it still does, each member outside the bucket's largest component is compared with all of other components, but for
     pairs which cannot reach the limit even if they share all shingles that any other of these rows has, and for pairs
@@ -173,9 +175,9 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
     null component_id and are kept. Rows of one id count as one document. Extra columns are ignored; an empty table
     gives an empty one.
     """
-    p = p or Near()
+    p, key = p or Near(), run_key()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(_sketched(texts, p))
+    sketch = materialize(_sketched(texts, p, key))
     known = sketch.where("id IS NOT NULL AND n > 0")
     nodes = materialize(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -186,7 +188,7 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
         """Those pairs (a, b) whose full sets reach the limit."""
         asked = materialize(asked.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         wanted = materialize(asked.select(F.col("a").alias("id")).unionByName(asked.select(F.col("b").alias("id"))).distinct())
-        sets = materialize(_full_sets(texts.join(broadcast_if_small(wanted), "id", "left_semi"), p.shingle))
+        sets = materialize(_full_sets(texts.join(broadcast_if_small(wanted), "id", "left_semi"), p.shingle, key))
         both = asked.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
         both = both.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
         still = materialize(open_.select(F.col("node").alias("id")).distinct())
         keys = nodes.select(F.col("node").alias("id"), "keys").join(broadcast_if_small(still), "id", "left_semi")
-        profiles = broadcast_if_small(materialize(_profiles(texts, still, p.shingle).join(keys, "id")), 100_000)
+        profiles = broadcast_if_small(materialize(_profiles(texts, still, p.shingle, key).join(keys, "id")), 100_000)
         sized = open_.withColumnRenamed("node", "id").join(profiles, "id").withColumnRenamed("component", "c")
         outside = sized.join(broadcast_if_small(materialize(main)), "key").where("c <> main").drop("main")
         a, b = outside.alias("a"), sized.alias("b")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import SPACE, broadcast_if_small, materialize, mix64, ngrams, arrow_map, word_hash, word_spans
+from logsift.llm.common import SPACE, broadcast_if_small, materialize, mix64, ngrams, arrow_map, numbered, word_spans
 from logsift.llm.features import blocks, byte_grams, counted, hashed_share, logistic, margins, per_text, vectors, word_grams
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -78,7 +78,9 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
 
 
 def repeated_words(words: np.ndarray, texts: np.ndarray, window: int, rows: int) -> np.ndarray:
-    """Words of each text in windows of that many words which the text has twice or more."""
+    """Words of each text in windows of that many words which the text has twice or more. words: numbers from numbered(), which
+    stand for random ones here, so that no text can be made for windows to meet."""
+    words = np.random.default_rng().integers(0, 1 << 63, int(words.max(initial=0)) + 1, np.uint64)[words]
     starts = np.flatnonzero(texts[: max(0, len(texts) - window + 1)] == texts[window - 1 :]) if len(texts) >= window else np.zeros(0, np.int64)
     grams, owners = ngrams(words, texts, window)
     _, which, count = np.unique(mix64(grams ^ mix64(owners.astype(np.uint64))), return_inverse=True, return_counts=True)
@@ -100,8 +102,8 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     some = inside[ends] > inside[starts]
     starts, ends, text = starts[some], ends[some], text[some]
     ends = ends - (data[ends - 1] == 10)
-    keys = mix64(word_hash(data, starts, ends) ^ mix64(text.astype(np.uint64)))
-    _, first = np.unique(keys, return_index=True)
+    which, held = numbered(data, starts, ends)
+    _, first = np.unique(text * max(len(held), 1) + which, return_index=True)
     return np.bincount(text, minlength=rows) - np.bincount(text[first], minlength=rows)
 
 
@@ -123,7 +125,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 rows = len(offsets) - 1
                 starts, ends, texts = word_spans(data, offsets)
                 n = np.bincount(texts, minlength=rows)
-                repeats = repeated_words(word_hash(data, starts, ends), texts, s.window, rows)
+                repeats = repeated_words(numbered(data, starts, ends)[0], texts, s.window, rows)
                 failed = (n < s.least_words) | (100 * repeats > s.repeat_percent * n)
                 p = np.ones(rows)
                 if model.weights is not None:

@@ -84,3 +84,31 @@ def test_many_short_rows_are_a_bounded_block():
 
     sizes = [len(o) - 1 for _, _, o in features.blocks(pa.array(["abc"] * 5000 + [None] * 300))]
     assert max(sizes) == features.BLOCK_ROWS and sum(sizes) == 5300
+
+
+#: Two words with equal word_hash(), found by undoing its mixing of eight bytes.
+MET = ("rs18bf38zzzzzzzz", 'frdx3rn4,"3!7t{m')
+
+
+def test_words_made_to_meet_are_told_apart(spark):
+    data = np.frombuffer(" ".join(MET).encode(), np.uint8)
+    at = np.array([0, 17]), np.array([16, 33])
+    assert len(set(common.word_hash(data, *at))) == 1 and len(set(common.keyed_hash(data, *at, common.run_key()))) == 2
+    one, other = (" ".join([w, *"abc", w, *"def", w, *"ghi", w, *"jkl"]) for w in MET)
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, minhash.Near(shingle=3, percent=85)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    model = quality_rules.Model(None, 1.0, 0.0, quality_rules.Settings())
+    tail = " a b c d e f g"
+    docs = spark.createDataFrame([(1, f"{MET[0]}{tail}\n{MET[1]}{tail}"), (2, f"{MET[0]}{tail}\n{MET[0]}{tail}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.judge(docs, model).collect()}
+    assert got == {1: (0, 0), 2: (1, 16)}
+
+
+def test_spans_are_numbered_by_their_bytes():
+    text = "xx yy  xx\nz yy x".encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, ends, _ = common.word_spans(data, offsets)
+    which, held = common.numbered(data, starts, ends)
+    assert [held[i].as_py() for i in which.tolist()] == text.split()
+    assert len(common.keyed_hash(data, starts[:0], ends[:0], common.run_key())) == 0

@@ -72,6 +72,6 @@ def test_signature_agreement_estimates_similarity():
 
 def test_sets_of_sliced_batches_with_nulls():
     column = pa.array(["skip", "a b c d", None, "A b C d", "a b"]).slice(1)
-    (_, grams, at), *rest = list(minhash.shingle_sets(column, 3))
+    (_, grams, at), *rest = list(minhash.shingle_sets(column, 3, "0123456789abcdef"))
     assert not rest and np.diff(at).tolist() == [2, 0, 2, 1]
     assert (grams[at[0] : at[1]] == grams[at[2] : at[3]]).all()
