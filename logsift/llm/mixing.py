@@ -2,8 +2,9 @@
 
 Documents are added up by membership pattern (the set of sources that they belong to), so that the flow's network has a
 node for each pattern and source, not for each document. A pattern's tokens can be taken once for nothing and again at a
-cost that grows with each repetition; they flow to the quotas of its sources. Documents that fill a pattern's last,
-partial repetition are taken in a seeded order.
+cost that grows with each repetition; they flow to the quotas of its sources. A document larger than what its pattern is to
+give is left out, and the others repeat the more. Those that fill a pattern's last, partial repetition are taken in a
+seeded order up to the first that does not fit; the gap is filled by documents that do, large ones first.
 """
 
 from __future__ import annotations
@@ -87,6 +88,19 @@ def route(patterns: dict[tuple, int], quotas: dict, max_repeat: int) -> dict[tup
     return {m: sum(arcs[i ^ 1][1] for i in out_of["from"] if arcs[i][0] == ("p", m)) for m in patterns}
 
 
+def fill(gap: int, sizes: list[tuple[int, int, int]], levels: int) -> list[tuple[int, int, int]]:
+    """(size, level, documents) that fill a gap: sizes: (size, documents not taken again yet, all documents). Large ones go first; a
+    document gets a second further copy (level 2) only when no other that would fit is left."""
+    out = []
+    for level in range(1, levels + 1):
+        for size, fresh, n in sorted(sizes, reverse=True):
+            take = min(fresh if level == 1 else n, gap // size)
+            if take:
+                out.append((size, level, take))
+                gap -= take * size
+    return out
+
+
 def mix_sources(
     docs: DataFrame, sources: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 42,
     id_col: str = "doc_id", text_col: str = "text",
@@ -98,15 +112,17 @@ def mix_sources(
     or empty array means no source, whose rows have no copy. Targets share the sum of all sizes by weight. A null or
     empty text has size 0; rows of equal id, size and sources are taken together. All rows and columns stay; columns of
     those names are replaced. An empty table gives an empty one. The driver holds a row for each membership pattern.
-    The same rows give the same mix again, in whatever order and partitions they come.
+    What a pattern gives falls short of its part by less than the smallest document that may still be repeated. The same
+    rows give the same mix again, in whatever order and partitions they come.
     """
     sources = F.array(F.col("source")) if sources is None else F.coalesce(sources, F.array().cast("array<string>"))
     members = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("")))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     full = docs.withColumns({"mix_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "_members": members, "_key": key})
-    slim = materialize(full.select("_members", "_key", F.col("mix_size").alias("_size")))
+    units = full.groupBy("_members", "_key", F.col("mix_size").alias("_size")).agg(F.sum("mix_size").alias("_weight"))
+    units = materialize(units)
 
-    found = slim.groupBy("_members").agg(F.sum("_size").alias("n")).collect()
+    found = units.groupBy("_members").agg(F.sum("_weight").alias("n")).collect()
     name = lambda m: m[1:] if m else None
     patterns = {tuple(r["_members"]): r["n"] for r in found}
     sizes: dict[str | None, int] = defaultdict(int)
@@ -120,27 +136,53 @@ def mix_sources(
     if over > total > 0:
         targets = {s: t * total / over for s, t in targets.items()}
     flow = route({m: n for m, n in patterns.items() if m}, {m: targets[name(m)] for p in patterns for m in p}, max_repeat)
-    plan = [
-        (list(m), flow.get(m, 0) // n if n else 0, flow.get(m, 0) % n if n else 0, [name(x) for x in m], [sizes[name(x)] for x in m], [float(targets[name(x)]) for x in m])
-        for m, n in patterns.items()
-    ]
-    schema = "_members array<string>, _whole long, _rest long, mix_members array<string>, mix_source_sizes array<long>, mix_targets array<double>"
-    plan_df = materialize(docs.sparkSession.createDataFrame(plan, schema))
+
+    spark = docs.sparkSession
+    table = lambda rows, schema: materialize(spark.createDataFrame(rows, schema))
+    wanted = broadcast_if_small(table([(list(m), flow.get(m, 0)) for m in patterns], "_members array<string>, _wanted long"))
+    able = units.join(wanted, "_members").where("_weight <= _wanted").groupBy("_members").agg(F.sum("_weight").alias("n")).collect()
+    able = {tuple(r["_members"]): r["n"] for r in able}
+    whole = {m: min(flow.get(m, 0) // able[m], max_repeat) if able.get(m) else 0 for m in patterns}
+    rest = {m: flow.get(m, 0) - whole[m] * able.get(m, 0) if m and whole[m] < max_repeat else 0 for m in patterns}
+    plan = [(list(m), flow.get(m, 0), whole[m], rest[m], [name(x) for x in m], [sizes[name(x)] for x in m], [float(targets[name(x)]) for x in m]) for m in patterns]
+    plan_df = table(plan, "_members array<string>, _wanted long, _whole long, _rest long, mix_members array<string>, mix_source_sizes array<long>, mix_targets array<double>")
 
     bucket = F.substring("_key", 1, BUCKET_DIGITS)
+    fit = units.join(broadcast_if_small(plan_df.select("_members", "_rest")), "_members").where("_weight <= _rest").withColumn("_bucket", bucket)
     upto = Window.partitionBy("_members").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = slim.groupBy("_members", bucket.alias("_bucket")).agg(F.sum("_size").alias("n"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(broadcast_if_small(plan_df.select("_members", "_rest")), "_members")
+    sums = fit.groupBy("_members", "_rest", "_bucket").agg(F.sum("_weight").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     edge = materialize(sums.where("_before <= _rest AND _before + n > _rest").select("_members", "_bucket", "_before"))
-    plan_df = materialize(plan_df.join(edge, "_members", "left"))
-    at_edge = slim.withColumn("_bucket", bucket).join(broadcast_if_small(plan_df.select("_members", "_bucket", "_before", "_rest")), ["_members", "_bucket"])
-    units = at_edge.groupBy("_members", "_key", "_size", "_before", "_rest").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("_members").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = units.withColumn("_sum", F.sum(F.col("n") * F.col("_size")).over(upto) + F.col("_before")).where("_sum <= _rest")
-    chosen = materialize(chosen.select("_members", "_key", F.col("_size").alias("mix_size"), F.lit(True).alias("_chosen")))
-
-    out = full.join(broadcast_if_small(plan_df), "_members").join(broadcast_if_small(chosen), ["_members", "_key", "mix_size"], "left")
-    more = (F.col("_rest") > 0) & (F.coalesce(bucket < F.col("_bucket"), F.lit(False)) | F.coalesce("_chosen", F.lit(False)))
-    copies = F.when(F.size("_members") == 0, 0).otherwise(F.col("_whole") + more.cast("long")).cast("long")
+    at_edge = fit.join(broadcast_if_small(edge), ["_members", "_bucket"])
+    first = materialize(at_edge.withColumn("_sum", F.sum("_weight").over(upto) + F.col("_before")).where("_sum <= _rest").select("_members", "_key", "_size", "_sum", F.lit(True).alias("_first")))
+    reached = {tuple(r["_members"]): r["n"] for r in sums.where("_before + n <= _rest").groupBy("_members").agg(F.max(F.col("_before") + F.col("n")).alias("n")).collect()}
+    reached |= {tuple(r["_members"]): r["n"] for r in first.groupBy("_members").agg(F.max("_sum").alias("n")).collect()}
+    gaps = {m: rest[m] - reached.get(m, 0) for m in patterns}
+
+    plan_df = materialize(plan_df.join(edge.drop("_before"), "_members", "left").join(table([(list(m), g) for m, g in gaps.items()], "_members array<string>, _gap long"), "_members"))
+    taken = (F.col("_weight") <= F.col("_rest")) & (F.col("_rest") > 0) & (F.coalesce(bucket < F.col("_bucket"), F.col("_bucket").isNull()) | F.coalesce("_first", F.lit(False)))
+    small = units.join(broadcast_if_small(plan_df.select("_members", "_rest", "_bucket", "_gap")), "_members").where("_weight > 0 AND _weight <= _gap")
+    small = small.join(broadcast_if_small(first.drop("_sum")), ["_members", "_key", "_size"], "left").withColumn("_taken", taken)
+    small = materialize(small.select("_members", "_key", "_size", "_weight", "_taken"))
+    there = small.groupBy("_members", "_weight").agg(F.count_if(~F.col("_taken")).alias("fresh"), F.count("*").alias("n")).collect()  # sizes below a gap
+    held = defaultdict(list)
+    for r in there:
+        held[tuple(r["_members"])].append((r["_weight"], r["fresh"], r["n"]))
+    fills = [(list(m), w, level, n) for m, h in held.items() for w, level, n in fill(gaps[m], h, max_repeat - whole[m])]
+    fills_df = table(fills, "_members array<string>, _weight long, level int, take long")
+    ranked = small.join(broadcast_if_small(fills_df), ["_members", "_weight"]).where("level > 1 OR NOT _taken")
+    order = Window.partitionBy("_members", "_weight", "level").orderBy("_key", "_size")
+    most = max((f[3] for f in fills), default=0)
+    ranked = ranked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).where("rn <= take")  # the first of the two limits what is sorted
+    more = materialize(ranked.groupBy("_members", "_key", "_size").agg(F.count("*").alias("_more")))
+
+    repeated = materialize(units.where("_weight > _size").select("_members", "_key", "_size", "_weight"))
+    on = ["_members", "_key", "_size"]
+    out = full.withColumnRenamed("mix_size", "_size").join(broadcast_if_small(plan_df), "_members")
+    for extra in (repeated, first.drop("_sum"), more):
+        out = out.join(broadcast_if_small(extra), on, "left")
+    out = out.withColumn("_weight", F.coalesce("_weight", "_size"))
+    copies = F.when(F.col("_weight") <= F.col("_wanted"), F.col("_whole")).otherwise(0) + taken.cast("long") + F.coalesce("_more", F.lit(0))
+    copies = F.when(F.size("_members") == 0, 0).otherwise(copies).cast("long")
     mixed = ["mix_size", "mix_copies", "mix_members", "mix_source_sizes", "mix_targets"]
-    return out.withColumn("mix_copies", copies).select(*[c for c in docs.columns if c not in mixed], *mixed)
+    return out.withColumns({"mix_copies": copies, "mix_size": F.col("_size")}).select(*[c for c in docs.columns if c not in mixed], *mixed)

@@ -139,7 +139,7 @@ r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT e.b, r.reached FROM r
 m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
     "op5_mixing": r"""
-WITH d AS (SELECT doc_id, source, md5('42:' || doc_id) AS k,
+WITH RECURSIVE d AS (SELECT doc_id, source, md5('42:' || doc_id) AS k,
        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
       FROM d GROUP BY source),
@@ -149,12 +149,26 @@ o AS (SELECT *, row_number() OVER r AS i, sum(n) OVER () - (sum(3 * n) OVER r -
 f AS (SELECT i AS first_free, CAST(room AS DOUBLE) / CAST(shared AS DOUBLE) AS unit FROM o
       WHERE w * (CAST(room AS DOUBLE) / CAST(shared AS DOUBLE)) <= 3 * n ORDER BY i LIMIT 1),
 t AS (SELECT source, n, CASE WHEN i < first_free THEN CAST(3 * n AS DOUBLE) ELSE w * unit END AS target FROM o, f),
-c AS (SELECT d.*, n, target, CAST(floor(target) AS BIGINT) AS flow,
-             sum(size) OVER (PARTITION BY d.source ORDER BY k, size) AS upto
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, n AS source_size, target,
-       CAST(size * (flow // greatest(n, 1) + CASE WHEN upto <= flow % greatest(n, 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c""",
+c AS (SELECT d.*, n, target, CAST(floor(target) AS BIGINT) AS flow FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+w AS (SELECT source, flow, CAST(least(flow // greatest(sum(size), 1), 3) AS BIGINT) AS whole, CAST(sum(size) AS BIGINT) AS able
+      FROM c WHERE size <= flow GROUP BY source, flow),
+v AS (SELECT source, whole, CASE WHEN whole < 3 THEN flow - whole * able ELSE 0 END AS rest FROM w),
+p AS (SELECT c.doc_id, c.source, c.size, c.k, v.whole, v.rest, sum(c.size) OVER (PARTITION BY c.source ORDER BY c.k, c.size) AS upto
+      FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source WHERE c.size <= v.rest AND v.rest > 0),
+g AS (SELECT source, rest, whole, rest - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM p GROUP BY source, rest, whole),
+q AS (SELECT p.doc_id, p.source, p.size, p.k, upto <= p.rest AS first, g.gap, g.whole FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source),
+h AS (SELECT source, size, whole, gap, count(*) FILTER (NOT first) AS fresh, count(*) AS n FROM q WHERE size > 0 AND size <= gap GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY level, size DESC) AS step
+      FROM (SELECT source, gap, size, level, CASE WHEN level = 1 THEN fresh ELSE n END AS have FROM h, range(1, 4) AS l(level) WHERE whole + level <= 3)),
+f2 AS (SELECT source, 0 AS step, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS take, CAST(gap AS BIGINT) AS left FROM g
+       UNION ALL SELECT i.source, i.step, CAST(i.size AS BIGINT), CAST(i.level AS BIGINT), CAST(least(i.have, f2.left // i.size) AS BIGINT), CAST(f2.left - least(i.have, f2.left // i.size) * i.size AS BIGINT)
+       FROM f2 JOIN i ON i.source IS NOT DISTINCT FROM f2.source AND i.step = f2.step + 1),
+m AS (SELECT q.doc_id, f2.level, f2.take, row_number() OVER (PARTITION BY q.source, q.size, f2.level ORDER BY q.k) AS rn
+      FROM q JOIN f2 ON q.source IS NOT DISTINCT FROM f2.source AND q.size = f2.size AND f2.take > 0 WHERE f2.level > 1 OR NOT q.first),
+e AS (SELECT doc_id, count(*) AS more FROM m WHERE rn <= take GROUP BY doc_id)
+SELECT c.doc_id, c.size, c.n AS source_size, c.target,
+       CAST(c.size * (CASE WHEN c.size <= c.flow THEN coalesce(v.whole, 0) ELSE 0 END + CASE WHEN q.first THEN 1 ELSE 0 END + coalesce(e.more, 0)) AS BIGINT) AS taken
+FROM c LEFT JOIN v ON c.source IS NOT DISTINCT FROM v.source LEFT JOIN q ON q.doc_id = c.doc_id LEFT JOIN e ON e.doc_id = c.doc_id""",
     "op12_clustering": _clustering_sql(),
     "op13_hard_negatives": """
 WITH v AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256e0 * x)) AS x

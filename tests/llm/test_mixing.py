@@ -56,3 +56,24 @@ def test_odd_rows(make):
     assert len(got) == 5 and sorted(r["mix_size"] for r in got) == [0, 0, 2, 3, 3]
     assert mixing.mix_sources(make([])).count() == 0
     assert len({r["mix_copies"] for r in got if r["doc_id"] == 3}) == 1
+
+
+@pytest.mark.parametrize(("longest", "others"), [(9_000, []), (4_000, [("a", 5_000)]), (9_000, [("a", 7_000), ("c", 12_000)]), (60_000, []), (3_001, [("a", 500)])])
+def test_a_long_document_does_not_keep_a_source_from_its_target(make, longest, others):
+    words = lambda n: "w " * n
+    rows = [(0, words(longest), "en", "b"), *[(1 + i, words(10), "en", "b") for i in range(300)]]
+    rows += [(1000 + 1000 * k + i, words(50), "en", s) for k, (s, n) in enumerate(others) for i in range(n // 50)]
+    got = mixing.mix_sources(make(rows)).collect()
+    assert len(got) == len(rows) and all(0 <= r["mix_copies"] <= 3 for r in got)
+    for source, (_, target, taken) in by_source(got).items():
+        fits = [r["mix_size"] for r in got if r["source"] == source and r["mix_copies"] < 3]
+        assert taken <= target
+        assert target - taken < min((f for f in fits if f <= target), default=1 << 60) + 1 or taken == sum(3 * r["mix_size"] for r in got if r["source"] == source and r["mix_size"] <= target)
+    again = mixing.mix_sources(make(rows[::-1], parts=5)).collect()
+    assert sorted((r["doc_id"], r["mix_copies"]) for r in got) == sorted((r["doc_id"], r["mix_copies"]) for r in again)
+
+
+def test_gaps_are_filled_by_large_documents_and_second_copies_come_last():
+    assert mixing.fill(25, [(10, 1, 4), (7, 1, 1), (3, 2, 2)], 2) == [(10, 1, 1), (7, 1, 1), (3, 1, 2)]
+    assert mixing.fill(45, [(10, 1, 4), (7, 1, 1)], 2) == [(10, 1, 1), (7, 1, 1), (10, 2, 2), (7, 2, 1)]
+    assert mixing.fill(5, [(10, 1, 4)], 3) == [] and mixing.fill(100, [(10, 1, 4)], 1) == [(10, 1, 1)]
