@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,23 +68,46 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Numbers added up in a row: a text's matches are counted on in pieces of so many, since each step copies its piece.
+PIECE = 256
+
+
+def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x), with x computed once for a row however often of() names it."""
+    return F.transform(F.array(x), of)[0]
+
+
+def _running(numbers: Column, of: Callable[[Column], Column]) -> Column:
+    """of(the sums of each number and all before it)."""
+    none = F.array().cast("array<int>")
+    fold = lambda a: F.aggregate(a, none, lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + v)))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(PIECE)), lambda at: fold(F.slice(numbers, at, F.lit(PIECE))))
+
+    def joined(parts: Column) -> Column:
+        totals = fold(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))))
+        moved = lambda totals: F.transform(parts, lambda p, i: F.transform(p, lambda v: v + F.when(i > 0, totals[i - 1]).otherwise(0)))
+        return _bound(F.flatten(_bound(totals, moved)), of)
+
+    return _bound(parts, joined)
+
+
 def _spans(text: Column, k: Kind) -> Column:
     """Array of (kind, start, end, score): a match's place is the length of all gaps and matches before it."""
     found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
     gaps = F.split(text, k.pattern, -1)
-    both = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    empty = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<kind:string,start:int,end:int,score:double>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        m, g = x["m"], x["g"]
-        start = acc["at"] + F.length(g)
-        end = start + F.length(m)
-        score = F.lit(k.score) + F.when(F.lower(F.right(g, F.lit(WINDOW))).rlike(rf"\b(?:{k.near})"), RAISE).otherwise(0.0)
-        span = F.struct(F.lit(k.name).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        good = _confirmed(k.name, m) & (score >= k.least)
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(both, empty, step, lambda acc: acc["spans"])
+    both = _bound(found, lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("g")))
+
+    def placed(both: Column, ends: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            m, g = x["m"], x["g"]
+            score = F.lit(k.score) + F.when(F.lower(F.right(g, F.lit(WINDOW))).rlike(rf"\b(?:{k.near})"), RAISE).otherwise(0.0)
+            whole = F.struct(F.lit(k.name).alias("kind"), (ends[i] - F.length(m)).alias("start"), ends[i].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+            return F.struct(whole.alias("span"), (_confirmed(k.name, m) & (score >= k.least)).alias("good"))
+
+        return F.transform(F.filter(F.transform(both, span), lambda s: s["good"]), lambda s: s["span"])
+
+    lengths = lambda both: F.transform(both, lambda x: F.length(x["g"]) + F.length(x["m"]))
+    spans = _bound(both, lambda both: _bound(lengths(both), lambda n: _running(n, lambda ends: placed(both, ends))))
     return F.when(text.rlike(k.has), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 

@@ -81,3 +81,17 @@ def test_context_raises_scores(make):
 
 def test_empty_table(make):
     assert pii.personal_data(make([])).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    """Places are added up in pieces: time follows the number of spans."""
+    import time
+
+    n = 40_000
+    text = " ".join(f"a{i}@b.co" for i in range(n))
+    began = time.time()
+    got = pii.personal_data(spark.createDataFrame([(1, text), (2, text[: 40 * 300])], "doc_id long, text string")).select("doc_id", "pii_email").collect()
+    assert time.time() - began < 30
+    for r, whole in zip(got, (text, text[: 40 * 300]), strict=True):
+        want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", whole)]
+        assert [(s["start"], s["end"]) for s in r["pii_email"]] == want
