@@ -1,10 +1,11 @@
 """Removal of byte strings of a minimum length that repeat anywhere in a corpus.
 
-All windows of ``length`` bytes are split into classes of equal strings by widening a common part step by step, dropping
-a class as soon as it has one member and stopping at ``length``: first by the window's anchor, the ``anchor``-byte string
-inside it with the least hash; then by the whole run of successive windows that share that anchor, which settles all
-copies at once; last, for the runs still mixed, by the windows themselves. Equal windows have equal anchors, so each
-class can be dealt to a task of its own, which one suffix array over all documents could not be.
+One suffix array over all documents would have to stand in one task. So windows of ``length`` bytes are first dealt to
+classes that no two equal ones can be parted by: by the window's anchor, the ``anchor``-byte string inside it with the least
+hash. Anchors that occur once, and runs of successive windows with one anchor that are copies as a whole, are settled
+then. What is left, different runs that share an anchor, is searched in the tasks that classes are dealt to: suffixes sorted,
+their Burrows-Wheeler transform extended backward up to ``length`` (bwt.py). Only a class of more than CLASS_ROWS different
+runs, which would be too much for one task, is parted further by hashes of its windows and searched by these.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsift.llm.bwt import repeated_starts
 from logsift.llm.common import broadcast_if_small, materialize, mix64, pieces, prefix_hash, span_hash, text_bytes, arrow_map
 
-#: Bytes of text at a time; rows of a class that one task compares at once before the class is split by window hash.
+#: Bytes of text at a time, and of the runs that are searched together; different runs of a class beyond which it is parted
+#: by hashes of windows.
 BLOCK, CLASS_ROWS = 1 << 20, 500
 #: Rows of the tables of spans (a few numbers for each text) that are broadcast.
 SPAN_ROWS = 200_000
@@ -76,8 +80,62 @@ def _found(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     return arrow_map(texts, run, "uid binary, first long, last long, fp long, name long")
 
 
+def _bytes(held: DataFrame, length: int) -> DataFrame:
+    """(fp, uid, first, run) of runs: held has (uid, text, runs of (first, last, fp, salts))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            out: list[list] = [[], [], [], []]
+            for k, runs_ in enumerate(batch.column(2).to_pylist()):
+                raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                for r in runs_:
+                    for x, y in zip(out, (r["fp"], k, r["first"], raw[r["first"] : r["last"] + length]), strict=True):
+                        x.append(y)
+            uid = batch.column(0).take(pa.array(out[1], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), uid, pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["fp", "uid", "first", "run"])
+
+    return arrow_map(held, run, "fp long, uid binary, first long, run binary")
+
+
+def _searched(dealt: DataFrame, length: int) -> DataFrame:
+    """Spans (uid, first, end) of strings that stand twice in the runs of a class; dealt is sorted by fp in each partition. Several
+    small classes are searched together: strings of two classes are never equal, since their anchors differ."""
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        found = repeated_starts(table["run"].to_pylist(), length)
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        at = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64) + table["first"].to_numpy()[row]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:] - 1, len(row) - 1)[: len(a)]
+        uid = table["uid"].combine_chunks().take(pa.array(row[a]))
+        return pa.RecordBatch.from_arrays([uid if isinstance(uid, pa.Array) else uid.combine_chunks(), pa.array(at[a]), pa.array(at[b] + length)], names=["uid", "first", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(3)).to_numpy()
+            edges = [0, *(np.flatnonzero(fp[1:] != fp[:-1]) + 1).tolist(), len(fp)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):  # classes
+                if size >= BLOCK and fp[a] != last:
+                    yield settle(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size, last = size + int(sizes[a:b].sum()), fp[a]
+        if held:
+            yield settle(held)
+
+    return arrow_map(dealt, run, "uid binary, first long, end long")
+
+
 def _windows(held: DataFrame, length: int) -> DataFrame:
-    """Window hashes of runs, dealt by salt: held has (uid, text, runs of (first, last, fp, salts))."""
+    """Window hashes of the runs of large classes, dealt by salt: held has (uid, text, runs of (first, last, fp, salts))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +203,14 @@ def _repeated(dealt: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(held: DataFrame) -> DataFrame:
-    """held has (doc_id, text, spans of (first, end), ascending and apart)."""
+    """held has (id, text, spans of (first, end)); spans that overlap or touch become one."""
+
+    def merged(spans: list[dict]) -> list[tuple[int, int]]:
+        at = np.array([(c["first"], c["end"]) for c in spans], np.int64).reshape(-1, 2)
+        at = at[np.argsort(at[:, 0], kind="stable")]
+        ends = np.maximum.accumulate(at[:, 1])
+        new = np.append(True, at[1:, 0] > ends[:-1])[: len(at)]
+        return list(zip(at[new, 0].tolist(), ends[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)].tolist() if len(at) else [], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +218,14 @@ def _cut(held: DataFrame) -> DataFrame:
             removed, spans, digest, kept_texts = [], [], [], []
             for k, cuts in enumerate(batch.column(2).to_pylist()):
                 raw, at, kept = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
-                for c in cuts or ():
-                    kept.append(raw[at : c["first"]])
-                    at = c["end"]
+                cuts = merged(cuts or [])
+                for first, end in cuts:
+                    kept.append(raw[at:first])
+                    at = end
                 kept.append(raw[at:])
                 left = b"".join(kept)
                 removed.append(len(raw) - len(left))
-                spans.append(len(cuts or ()))
+                spans.append(len(cuts))
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept_texts.append(left)
             n = np.diff(offsets)
@@ -172,7 +238,7 @@ def _cut(held: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(uid, spans): for each text with repeats, its maximal runs of bytes that repeated strings cover.
+    """(uid, spans): for each text with repeats, runs of bytes that repeated strings cover, in any order; they may overlap.
 
     texts: (uid, text), where rows of one uid have one text.
     """
@@ -189,19 +255,14 @@ def repeated_spans(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
     asked = materialize(single.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "fp", "salts")).alias("runs")))
     held = texts.join(broadcast_if_small(asked, SPAN_ROWS), "uid").select("uid", "text", "runs")
-    # a class of windows is compared in one task; a large one is dealt to several by its windows' hashes
-    dealt = _windows(held, length).repartition("fp", "salt").sortWithinPartitions("fp", "salt")
+    which = lambda large: F.filter("runs", lambda r: (r["salts"] > 1) == large)
+    some = lambda large: held.withColumn("runs", which(large)).where(F.size("runs") > 0)
+    dealt = _bytes(some(False), length).repartition("fp").sortWithinPartitions("fp", "uid", "first")
+    large = _windows(some(True), length).repartition("fp", "salt").sortWithinPartitions("fp", "salt")
     whole = hits.where("same").unionByName(several.select(hits.columns)).select("uid", "first", (F.col("last") + length).alias("end"))
-    spans = _repeated(dealt, length).unionByName(whole).distinct()
-
-    def join(done, x):
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["first"]), grown).otherwise(F.concat(done, F.array(x)))
+    spans = _searched(dealt, length).unionByName(_repeated(large, length)).unionByName(whole).distinct()
 
-    lists = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("s"))
-    merged = F.aggregate("s", F.array().cast("array<struct<first:bigint,end:bigint>>"), join)
-    return lists.select("uid", merged.alias("spans"))
+    return spans.groupBy("uid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
