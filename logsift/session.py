@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def configured(spark: SparkSession) -> SparkSession:
@@ -29,11 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: it survives lost executors and is computed once."""
+    """Writes df as Parquet to the shared folder and reads it back: it survives lost executors and is computed once. The result's
+    table_rows is how many rows it has, counted as they were written."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.table_path = path
+    out.table_path, out.table_rows = path, written.get["rows"]
     return out
 
 
