@@ -26,9 +26,22 @@ BROADCAST_ROWS = 1_000_000
 ARROW_ROWS = 1000
 
 
+#: Bytes that a broadcast may take, by its rows and the widths of its columns, and what a column of each kind counts as.
+BROADCAST_BYTES = 256 << 20
+WIDTHS = {"string": 64, "binary": 64, "array": 256, "map": 512}
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row of df counts as in a broadcast."""
+    return sum(WIDTHS.get(f.dataType.typeName(), 16) for f in df.schema.fields)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast only if it has at most max_rows rows; else a join of it shuffles. df must be materialized."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Marks df for broadcast only if it has at most max_rows rows, and no more than BROADCAST_BYTES by its columns; else a join of
+    it shuffles. df must be materialized; one that materialize() returned is not counted again."""
+    most = min(max_rows, BROADCAST_BYTES // row_bytes(df))
+    rows = getattr(df, "table_rows", None)
+    return F.broadcast(df) if (df.limit(most + 1).count() if rows is None else rows) <= most else df
 
 
 def release() -> None:

@@ -86,7 +86,7 @@ def _verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
 def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """open_ with n, the size of a line's set, core, how many of it others have too, and rare, its rarest of those.
     Two lines whose sets reach the limit have one of these in common: fewer than the rest could not hold what they share."""
-    held = sets.join(broadcast_if_small(open_.select("l1")), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(dense(F.col("norm")))).alias("g"))
+    held = sets.join(broadcast_if_small(open_).select("l1"), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(dense(F.col("norm")))).alias("g"))
     many = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))  # a line's shingles
     own = F.col("n") - F.col("core")
@@ -106,7 +106,7 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
     members = materialize(keyed.join(broadcast_if_small(shared), "key"))
     met = materialize(members.groupBy("l1").agg(F.sum("m").alias("met")))
     members = materialize(members.select("key", "l1").join(broadcast_if_small(met), "l1"))
-    found = lines.select("l1", "l2", "norm").join(broadcast_if_small(met.select("l1")), "l1", "left_semi")
+    found = lines.select("l1", "l2", "norm").join(broadcast_if_small(met).select("l1"), "l1", "left_semi")
     found = found.groupBy("l1").agg(F.first("norm").alias("norm"), F.min("l2").alias("x"), F.max("l2").alias("y")).where("x = y")
     sets = materialize(found.select("l1", F.size(F.array_distinct(dense(F.col("norm")))).alias("n"), "norm"))
     first = materialize(members.groupBy("key").agg(F.max_by("l1", F.struct("met", "l1")).alias("b")))
@@ -118,7 +118,7 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
         done = materialize(done.select("key", F.col("b").alias("l1")))
         labels = materialize(connected_components(links)) if last else near_labels(links)
         members = members.join(broadcast_if_small(done), ["key", "l1"], "left_anti")
-        got = members.join(broadcast_if_small(labels.withColumnRenamed("node", "l1")), "l1", "left")
+        got = members.join(broadcast_if_small(labels).withColumnRenamed("node", "l1"), "l1", "left")
         got = got.select("key", "l1", "met", F.coalesce("component", "l1").alias("c"))
         split = materialize(got.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
         out = materialize(got.join(broadcast_if_small(split), "key", "left_semi"))
@@ -128,19 +128,19 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
     open_ = still_open(links, members, first, False)
     discard(shared, members, met, first)
     for k in range(2, ROUNDS + 1):
-        if open_.isEmpty():
+        if not open_.table_rows:
             return links
         each = open_.groupBy("key", "c").agg(F.count("*").alias("size"), F.max(F.struct("met", "l1")).alias("top"))
         each, order = materialize(each), F.struct("size", "c")
         pivots = each.groupBy("key").agg(F.max_by("c", order).alias("of"), F.max_by("top", order)["l1"].alias("b")).select("key", "of", "b")
         main = materialize(pivots)
-        rest = each.join(broadcast_if_small(main.select("key", "of")), "key").where("c <> of")
+        rest = each.join(broadcast_if_small(main).select("key", "of"), "key").where("c <> of")
         rest = materialize(rest.groupBy("key").agg(F.max_by("c", "top").alias("of"), F.max("top")["l1"].alias("b")))
         asked = [open_.join(broadcast_if_small(p), "key").where("c <> of").select(F.col("l1").alias("a"), "b") for p in (main, rest)]
         links = materialize(links.unionByName(_verified(asked[0].unionByName(asked[1]), sets)))
         before, open_ = open_, still_open(links, open_.drop("c"), main.unionByName(rest), k == ROUNDS)
         discard(before, each, main, rest)
-    if open_.isEmpty():
+    if not open_.table_rows:
         return links
     open_ = materialize(open_.select("l1", "c").distinct())
     open_ = materialize(_rarest(open_, sets)).select("l1", "c", "n", "core", "rare", F.posexplode("rare").alias("pos", "key"))

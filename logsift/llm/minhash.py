@@ -203,12 +203,12 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
 
     links = materialize(compare(members.select(F.col("node").alias("a"), F.col("low").alias("b"))))
     open_ = labelled(links, members)
-    if not open_.isEmpty():
+    if open_.table_rows:
         pivot = open_.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("b"), F.min_by("component", F.xxhash64("key", "node")).alias("of"))
         asked = open_.join(broadcast_if_small(materialize(pivot)), "key").where("component <> of").select(F.col("node").alias("a"), "b")
         links = materialize(links.unionByName(compare(asked)))
         open_ = labelled(links, open_)
-    if not open_.isEmpty():
+    if open_.table_rows:
         sizes = open_.groupBy("key", "component").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
         still = materialize(open_.select(F.col("node").alias("id")).distinct())

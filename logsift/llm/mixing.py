@@ -148,7 +148,7 @@ def mix_sources(
     plan_df = table(plan, "_members array<string>, _wanted long, _whole long, _rest long, mix_members array<string>, mix_source_sizes array<long>, mix_targets array<double>")
 
     bucket = F.substring("_key", 1, BUCKET_DIGITS)
-    fit = units.join(broadcast_if_small(plan_df.select("_members", "_rest")), "_members").where("_weight <= _rest").withColumn("_bucket", bucket)
+    fit = units.join(broadcast_if_small(plan_df).select("_members", "_rest"), "_members").where("_weight <= _rest").withColumn("_bucket", bucket)
     upto = Window.partitionBy("_members").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = fit.groupBy("_members", "_rest", "_bucket").agg(F.sum("_weight").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     edge = materialize(sums.where("_before <= _rest AND _before + n > _rest").select("_members", "_bucket", "_before"))
@@ -161,7 +161,7 @@ def mix_sources(
 
     plan_df = materialize(plan_df.join(edge.drop("_before"), "_members", "left").join(table([(list(m), g) for m, g in gaps.items()], "_members array<string>, _gap long"), "_members"))
     taken = (F.col("_weight") <= F.col("_rest")) & (F.col("_rest") > 0) & (F.coalesce(bucket < F.col("_bucket"), F.col("_bucket").isNull()) | F.coalesce("_first", F.lit(False)))
-    small = units.join(broadcast_if_small(plan_df.select("_members", "_rest", "_bucket", "_gap")), "_members").where("_weight > 0 AND _weight <= _gap")
+    small = units.join(broadcast_if_small(plan_df).select("_members", "_rest", "_bucket", "_gap"), "_members").where("_weight > 0 AND _weight <= _gap")
     small = small.join(broadcast_if_small(first.drop("_sum")), ["_members", "_key", "_size"], "left").withColumn("_taken", taken)
     small = materialize(small.select("_members", "_key", "_size", "_weight", "_taken"))
     there = small.groupBy("_members", "_weight").agg(F.count_if(~F.col("_taken")).alias("fresh"), F.count("*").alias("n")).collect()  # sizes below a gap
