@@ -185,10 +185,10 @@ def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The bytes of ascending spans that do not overlap, as an Arrow array."""
+    """The bytes of ascending spans that are not empty and do not overlap, as an Arrow array."""
     edge = np.zeros(len(data) + 1, np.int8)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
+    edge[starts] += 1
+    edge[ends] -= 1  # one span may end where another begins
     joined = np.ascontiguousarray(data[np.cumsum(edge[:-1], dtype=np.int8) > 0])
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
