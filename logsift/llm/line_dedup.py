@@ -17,8 +17,8 @@ LENGTH, WIDE = 9, 4
 STEP = 8
 #: White space around a line that does not count.
 BLANKS = " \t\r\f\x0b"
-#: Least intersection per union, in percent. A pair at the limit shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS,
-#: 0.997.
+#: Least intersection per union, in percent. A pair at the limit would share a band with probability 1 - (1 - 0.8**ROWS)**BANDS,
+#: 0.997, if coordinates were independent; with the permutations below it was measured 0.983 to 0.993 for 10 to 80 shingles, 0.997 for 160.
 PERCENT, BANDS, ROWS = 80, 8, 3
 #: Rounds in which the members of a bucket are compared with one of them, before pairs are sought by rare shingles.
 ROUNDS = 3
