@@ -24,6 +24,11 @@ from logsift.llm.components import connected_components
 #: similarity of 0.8 or 0.85 that is over six standard deviations, less than once in a billion linked pairs, where the
 #: bands themselves lose 2 in 10 million and 4 in 100,000.
 WORDS, SLACK = 16, 0.12
+#: Rounds in which the members of a bucket are compared with one or two of them, before pairs of members are compared.
+ROUNDS = 2
+#: Shingles of a set that goes with its row to its buckets, where pairs are verified as they meet; larger ones are fetched for each
+#: pair. A row of such a set has at most 8 kB, and PROFILES of them are broadcast.
+CARRIED, PROFILES = 1000, 20_000
 
 
 @dataclass(frozen=True)
@@ -139,8 +144,8 @@ def _full_sets(docs: DataFrame, shingle: int, key: str) -> DataFrame:
 
 
 def _profiles(texts: DataFrame, ids: DataFrame, shingle: int, key: str) -> DataFrame:
-    """(id, size, core, s0, s1, ...): the size of an id's set, how many of its shingles another of the ids has too, and
-    the last bits of WORDS * 64 circulant coordinates."""
+    """(id, size, core, held, s0, s1, ...): the size of an id's set, how many of its shingles another of the ids has too, which
+    these are (null if more than CARRIED), and the last bits of WORDS * 64 circulant coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,10 +158,14 @@ def _profiles(texts: DataFrame, ids: DataFrame, shingle: int, key: str) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), size, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["id", "size", *(f"s{k}" for k in range(WORDS))])
 
     sets = materialize(_full_sets(texts.join(broadcast_if_small(ids), "id", "left_semi"), shingle, key))
-    own = sets.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    own = own.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    each = sets.select("id", F.explode("grams").alias("g"))
+    both = each.join(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "g", "left_semi")
+    few = materialize(both.groupBy("id").agg(F.count("*").alias("core")))
+    short = broadcast_if_small(few.where(F.col("core") <= CARRIED))
+    held = both.join(short.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list("g").alias("held"))  # at most CARRIED
     signed = arrow_map(sets, run, "id long, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
-    return materialize(signed.join(own, "id", "left").withColumn("core", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"))
+    out = signed.join(few, "id", "left").join(held, "id", "left")
+    return materialize(out.withColumn("core", F.coalesce("core", F.lit(0))))
 
 
 def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +177,10 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
 
     Words are hashed under a key of the run, so that texts cannot be made for different words to meet; results do not depend
     on it. Rows of equal words become one node first, so copies are never compared. Then, in each band's bucket, all are
-    compared with one member; where a bucket still holds several components, with another member for each band; where
-    it still does, each member outside the bucket's largest component is compared with all of other components, but for
+    compared with the member that meets most others in all its buckets: of a text and its edited copies that is the text
+    itself. Where a bucket still holds several components, in another round those outside the largest are compared with its
+    first member, and all of other components with the first of the rest; a member compared with all others leaves the bucket. Where
+    several are still left, each member outside the bucket's largest component is compared with all of other components, but for
     pairs which cannot reach the limit even if they share all shingles that any other of these rows has, and for pairs
     which 1024 one-bit coordinates put far below it (SLACK). No bucket is capped. A row without words (or with a null text) links with nothing. Rows of a null id link with nothing, have a
     null component_id and are kept. Rows of one id count as one document. Extra columns are ignored; an empty table
@@ -181,8 +192,10 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
     known = sketch.where("id IS NOT NULL AND n > 0")
     nodes = materialize(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1").drop("m"))
-    members = materialize(keyed.join(broadcast_if_small(shared), "key").select("key", "node", "low").distinct())
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    members = materialize(keyed.join(broadcast_if_small(shared), "key").distinct())
+    met = materialize(members.groupBy("node").agg(F.sum("m").alias("met")))
+    members = materialize(members.select("key", "node").join(broadcast_if_small(met), "node"))
 
     def compare(asked: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose full sets reach the limit."""
@@ -194,27 +207,35 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
         common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
         return both.where(100 * common >= p.percent * (total - common)).select("a", "b")
 
-    def labelled(links: DataFrame, members: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their component."""
+    def still_open(links: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
+        """Members, but for those of done (key, b), of buckets that hold several components: (key, node, met, component)."""
         labels = materialize(connected_components(links))
-        got = members.select("key", "node").join(broadcast_if_small(labels), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        left = members.join(broadcast_if_small(materialize(done.select("key", F.col("b").alias("node")))), ["key", "node"], "left_anti")
+        got = left.join(broadcast_if_small(labels), "node", "left").select("key", "node", "met", F.coalesce("component", "node").alias("component"))
         split = got.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return materialize(got.join(broadcast_if_small(materialize(split.select("key"))), "key", "left_semi"))
 
-    links = materialize(compare(members.select(F.col("node").alias("a"), F.col("low").alias("b"))))
-    open_ = labelled(links, members)
-    if open_.table_rows:
-        pivot = open_.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("b"), F.min_by("component", F.xxhash64("key", "node")).alias("of"))
-        asked = open_.join(broadcast_if_small(materialize(pivot)), "key").where("component <> of").select(F.col("node").alias("a"), "b")
-        links = materialize(links.unionByName(compare(asked)))
-        open_ = labelled(links, open_)
+    first = materialize(members.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("b")))
+    links = materialize(compare(members.join(broadcast_if_small(first), "key").select(F.col("node").alias("a"), "b")))
+    open_ = still_open(links, members, first)
+    for _ in range(1, ROUNDS):
+        if not open_.table_rows:
+            break
+        each = materialize(open_.groupBy("key", "component").agg(F.count("*").alias("size"), F.max(F.struct("met", "node")).alias("top")))
+        order = F.struct("size", "component")
+        main = materialize(each.groupBy("key").agg(F.max_by("component", order).alias("of"), F.max_by("top", order)["node"].alias("b")))
+        rest = each.join(broadcast_if_small(main).select("key", "of"), "key").where("component <> of")
+        rest = materialize(rest.groupBy("key").agg(F.max_by("component", "top").alias("of"), F.max("top")["node"].alias("b")))
+        asked = [open_.join(broadcast_if_small(p), "key").where("component <> of").select(F.col("node").alias("a"), "b") for p in (main, rest)]
+        links = materialize(links.unionByName(compare(asked[0].unionByName(asked[1]))))
+        open_ = still_open(links, open_.drop("component"), main.unionByName(rest))
     if open_.table_rows:
         sizes = open_.groupBy("key", "component").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
         still = materialize(open_.select(F.col("node").alias("id")).distinct())
         keys = nodes.select(F.col("node").alias("id"), "keys").join(broadcast_if_small(still), "id", "left_semi")
-        profiles = broadcast_if_small(materialize(_profiles(texts, still, p.shingle, key).join(keys, "id")), 100_000)
-        sized = open_.withColumnRenamed("node", "id").join(profiles, "id").withColumnRenamed("component", "c")
+        profiles = broadcast_if_small(materialize(_profiles(texts, still, p.shingle, key).join(keys, "id")), PROFILES)
+        sized = open_.withColumnRenamed("node", "id").join(profiles, "id").withColumnRenamed("component", "c").drop("met")
         outside = sized.join(broadcast_if_small(materialize(main)), "key").where("c <> main").drop("main")
         a, b = outside.alias("a"), sized.alias("b")
         most = F.least("a.core", "b.core")  # shingles that the two can share
@@ -224,8 +245,16 @@ def near_duplicates(docs: DataFrame, p: Near | None = None, id_col: str = "doc_i
         before = F.array_position("a.keys", F.col("a.key")).cast("int") - 1
         met = F.exists(F.zip_with(F.slice("a.keys", 1, before), F.slice("b.keys", 1, before), lambda x, y: x == y), lambda x: x)
         first = F.when(before > 0, ~met).otherwise(True)  # a pair is asked in the first bucket that it shares
-        asked = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & can & near & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        links = materialize(links.unionByName(compare(asked)))
+        carried = F.col("a.held").isNotNull() & F.col("b.held").isNotNull()
+        common = F.size(F.array_intersect("a.held", "b.held"))
+        linked = F.when(carried, 100 * common >= p.percent * (F.col("a.size") + F.col("b.size") - common)).otherwise(True)
+        asks = F.when(can & near, F.when(first, linked).otherwise(False)).otherwise(False)  # in this order
+        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & asks)
+        found = materialize(found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), carried.alias("sure")))
+        links = links.unionByName(found.where("sure").select("a", "b"))
+        if found.where("NOT sure").limit(1).count():
+            links = links.unionByName(compare(found.where("NOT sure")))
+        links = materialize(links)
 
     labels = connected_components(links)
     named = nodes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))

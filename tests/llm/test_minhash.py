@@ -75,3 +75,18 @@ def test_sets_of_sliced_batches_with_nulls():
     (_, grams, at), *rest = list(minhash.shingle_sets(column, 3, "0123456789abcdef"))
     assert not rest and np.diff(at).tolist() == [2, 0, 2, 1]
     assert (grams[at[0] : at[1]] == grams[at[2] : at[3]]).all()
+
+
+@pytest.mark.parametrize("carried", [170, 1000])
+def test_groups_without_their_original(make, monkeypatch, carried):
+    """Edited copies whose original is missing: many pairs near the limit, some above it, verified in the bucket or fetched."""
+    monkeypatch.setattr(minhash, "CARRIED", carried)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(2):
+        base = " ".join(f"v{rng.randint(0, 400)}" for _ in range(180))
+        texts += [t for edits in (2, 4, 6) for t in near_copies(rng, base, 20, edits)]
+    rows = list(enumerate(texts))
+    got = minhash.near_duplicates(make(rows), minhash.Near(3, 85)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 85)
+    assert 2 < len({r["component_id"] for r in got}) < len(rows) - 10
