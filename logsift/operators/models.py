@@ -250,6 +250,22 @@ class RowDecomposition:
         d, steps, lam = len(self.mean), self.steps, self.lam
         return int(_sums(self.state, lambda b: np.array([float((np.abs(_replay(b, steps, d, lam)[2]) > least).sum())]))[0])
 
+    def low_space(self, k: int | None = None) -> Subspace:
+        """The first k directions of the low-rank part, by default as many as its rank, at least one."""
+        values, vectors = np.linalg.eigh(self.gram_of_low())
+        order = np.argsort(values)[::-1]
+        return Subspace(self.mean, vectors[:, order[: max(self.rank, 1) if k is None else k]].T, np.maximum(values[order], 0))
+
+    def low_residuals(self, k: int | None = None) -> DataFrame:
+        """The rows' other columns with err, the length of what low_space does not hold of the row."""
+        d, basis = len(self.mean), self.low_space(k).basis
+
+        def err(b: pd.DataFrame) -> np.ndarray:
+            m = _matrix(b, "_m", d)
+            return np.linalg.norm(m - m @ basis.T @ basis, axis=1)
+
+        return score_rows(self.state, err).drop("_m", "_s", "_z")
+
     def low_rows(self) -> DataFrame:
         """(seq_id, x): the low-rank part."""
         d, steps, lam = len(self.mean), self.steps, self.lam
@@ -337,10 +353,7 @@ def robust_pca_rows(rows: DataFrame, scale: float = 1.0, center: bool = False, t
 
 def fit_rpca_rows(rows: DataFrame, k: int = 9, scale: float = 1.0, center: bool = False) -> Subspace:
     """fit_rpca of all rows where they are."""
-    found = robust_pca_rows(rows, scale, center)
-    values, vectors = np.linalg.eigh(found.gram_of_low())
-    order = np.argsort(values)[::-1]
-    return Subspace(found.mean, vectors[:, order[:k]].T, np.maximum(values[order], 0))
+    return robust_pca_rows(rows, scale, center).low_space(k)
 
 
 # --- autoencoder ---------------------------------------------------------------------------------------------

@@ -214,7 +214,11 @@ def model_rpca_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("model_rpca_transductive")
 def model_rpca_transductive(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(models.robust_pca_rows(held_rows(spark, d)).sparse_norms())
+    """Held rows themselves decomposed: a row scores by its sparse part, or by what the low-rank part's directions leave of it."""
+    found = models.robust_pca_rows(held_rows(spark, d))
+    each = {"sparse": found.sparse_norms(), "subspace": found.low_residuals()}
+    sparse, subspace = (rounded(rows).select("seq_id", "y", F.lit(name).alias("score"), "err") for name, rows in each.items())
+    return sparse.unionByName(subspace)
 
 
 @query("model_ae_score")

@@ -41,6 +41,11 @@ def test_decomposition_of_partitioned_rows_equals_numpy(spark):
         assert np.allclose(got.gram_of_low(), want.low.T @ want.low, atol=1e-2)
         err = [r["err"] for r in got.sparse_norms().orderBy("seq_id").collect()]
         assert np.allclose(err, np.linalg.norm(want.sparse, axis=1), atol=1e-4)
+        k = 3  # later directions carry next to nothing
+        basis = np.linalg.svd(want.low, full_matrices=False)[2][:k]
+        m = want.low + want.sparse
+        left = [r["err"] for r in got.low_residuals(k).orderBy("seq_id").collect()]
+        assert np.allclose(left, np.linalg.norm(m - m @ basis.T @ basis, axis=1), atol=1e-3)
 
 
 def test_transductive_scores_cover_every_held_row(spark, tmp_path):
@@ -48,7 +53,8 @@ def test_transductive_scores_cover_every_held_row(spark, tmp_path):
     x = rng.normal(size=(5_300, 2)) @ rng.normal(size=(2, 6))
     rows = [(5 * i, [float(v) for v in r], 9 if i % 100 == 0 else 1) for i, r in enumerate(x)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert QUERIES["model_rpca_transductive"](spark, str(tmp_path)).select("seq_id").distinct().count() == 5_300
+    got = QUERIES["model_rpca_transductive"](spark, str(tmp_path)).groupBy("score").count().collect()
+    assert {r["score"]: r["count"] for r in got} == {"sparse": 5_300, "subspace": 5_300}
 
 
 def test_decomposition_and_grids_see_rows_beyond_the_samples(spark, tmp_path):
