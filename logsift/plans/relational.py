@@ -14,7 +14,7 @@ from logsift.plans.registry import one_row, query, r6
 from logsift.session import shared_dir
 from logsift.sources import logs
 from logsift.sources.templates import Tree
-from logsift.views import EVENTS_SQL, FIVE_MINUTES, SCORED_SQL, SESSIONS_SQL, SIX_HOURS, WEEK, log_events, log_sessions, scored, session_labels, table, vec64
+from logsift.views import EVENTS_SQL, FIVE_MINUTES, LINE_ORDER, SCORED_SQL, SESSIONS_SQL, SIX_HOURS, WEEK, log_events, log_sessions, scored, session_labels, session_lines, table, vec64
 
 LINES_SQL = f"WITH {EVENTS_SQL}\n"
 
@@ -366,7 +366,7 @@ BIGRAM_SQL = f"{SESSIONS_SQL}, g AS (SELECT seq_id, event_id AS a, lead(event_id
 
 
 def session_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.bigrams(log_sessions(spark, d), ["seq_id"], ["pos"]).groupBy("seq_id", "a", "b").agg(F.count("*").alias("n"))
+    return sequences.bigrams(session_lines(spark, d), ["seq_id"], [*LINE_ORDER]).groupBy("seq_id", "a", "b").agg(F.count("*").alias("n"))
 
 
 @query("win_bigram_counts", f"WITH {BIGRAM_SQL} SELECT seq_id, a, b, n FROM b")
