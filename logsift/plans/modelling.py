@@ -9,7 +9,8 @@ from logsift.operators import features, metrics, sequences, splits, thresholds
 from logsift.operators.ranks import shuffled_rank
 from logsift.plans.registry import one_row, query, r6
 from logsift.plans.relational import BIGRAM_SQL, CELLS_SQL, POS_SQL, cells, key_sql, rank_sql, session_bigrams, vocabulary
-from logsift.views import EVENTS_SQL, SCORED_SQL, SESSIONS_SQL, SIX_HOURS, log_events, log_sessions, scored, session_labels, vec64
+from logsift.session import in_parts
+from logsift.views import EVENTS_SQL, SCORED_SQL, SESSIONS_SQL, SIX_HOURS, log_events, log_sessions, scored, session_labels, table, vec64
 
 # --- features ------------------------------------------------------------------------------------------------
 
@@ -95,7 +96,8 @@ def feat_combined(spark: SparkSession, d: str) -> DataFrame:
     stats = features.interval_stats(lines, ["pos"]).unpivot("seq_id", list(STATS), "term", "value")
     parts = features.counts(lines).select("seq_id", "term", F.col("value").cast("double")).unionByName(pairs)
     parts = parts.unionByName(features.column_scaled(stats, 1, "max").select("seq_id", "term", "value"))
-    return rounded(features.l2_normalized(parts)).where("value <> 0")
+    most = 3 * table(spark, d, "lineitem").count()  # a term and a pair for each line, four numbers for each session
+    return rounded(features.l2_normalized(in_parts(parts, most, "seq_id"))).where("value <> 0")
 
 
 @query("feat_center", f"WITH {POS_SQL}, m AS (SELECT k, avg(v) AS m FROM x GROUP BY k) SELECT seq_id, CAST(k AS INT) AS k, round(v - m, 6) + 0 AS v FROM x JOIN m USING (k)")

@@ -20,3 +20,9 @@ def test_sessions_are_dealt_to_more_parts_the_more_lines_there_are(spark, monkey
         held.setdefault(r["part"], []).append(tuple(r)[:-1])
     assert {r for rows in held.values() for r in rows} == whole
     assert max(map(len, held.values())) < 4_000
+
+
+def test_terms_of_all_kinds_are_dealt_again_after_they_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 2_000)
+    found = QUERIES["feat_combined"](spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in found) < 6_000
