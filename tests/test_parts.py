@@ -26,3 +26,32 @@ def test_terms_of_all_kinds_are_dealt_again_after_they_are_joined(spark, monkeyp
     monkeypatch.setattr(session, "PART_ROWS", 2_000)
     found = QUERIES["feat_combined"](spark, SF).groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in found) < 6_000
+
+
+def test_each_shard_has_a_part_of_its_own(spark):
+    import numpy as np
+
+    from logsift.operators import training
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i % 3, i, rng.normal(size=4).tolist()) for i in range(900)], "fold int, seq_id long, x array<double>")
+    dealt = training.deal(rows, "x", "fold", "seq_id", 50).rows
+    parts = dealt.select("g", "shard", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(parts) == len({r["part"] for r in parts}) == 18
+
+
+def test_a_round_sends_the_driver_parameters_only(spark, monkeypatch):
+    """Not a row for each number: a list for each block of parameters, summed in the order of shards."""
+    import numpy as np
+
+    from logsift.operators import training
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "seq_id long, x array<double>")
+    setup = training.Setup(hidden=(3,), epochs=3)
+    first = training.fit_networks(rows, [setup], shard=50)[0][0]
+    again = training.fit_networks(rows.repartition(7), [setup], shard=50)[0][0]
+    monkeypatch.setattr(training, "BLOCK", 10)
+    small = training.fit_networks(rows, [setup], shard=50)[0][0]
+    for other in (again, small):
+        assert all((a == b).all() for x, y in zip(first.layers, other.layers, strict=True) for a, b in zip(x, y, strict=True))
