@@ -23,31 +23,42 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 Pandas = Iterator[pd.DataFrame]
 
 
+#: Groups that keys are dealt to by hash: reading and writing state costs by the group, not by the key.
+KEY_GROUPS = 1024
+
+
 class _FixedCount(StatefulProcessor):
-    """Lines wait until the watermark has passed them, so that none can come before them any more; then they are counted in the
-    order of time and id."""
+    """Lines of a group of keys wait until the watermark has passed them, so that none can come before them any more; then they are
+    counted key by key in the order of time and id."""
 
     def __init__(self, size: int, idle_ms: int) -> None:
         self.size, self.idle_ms = size, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, id long, y int")
-        self.open = handle.getValueState("open", "window_no long, n long, y int, last long")
+        self.waiting = handle.getListState("waiting", "key string, at long, id long, y int")
+        self.open = handle.getListState("open", "key string, window_no long, n long, y int, last long")
+        self.due = handle.getValueState("due", "at long")  # of the group's only timer
+
+    def _wake(self, at: int) -> None:
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
 
     def handleInputRows(self, key: Any, rows: Pandas, timerValues: Any) -> Pandas:
         for b in rows:
-            self.waiting.appendList([tuple(map(int, r)) for r in zip(b["at"], b["id"], b["y"], strict=True)])
-            self.handle.registerTimer(int(b["at"].min()))
+            keys = b["key"].astype(object).where(b["key"].notna(), None).tolist()
+            self.waiting.appendList(list(zip(keys, b["at"].tolist(), b["id"].tolist(), b["y"].tolist(), strict=True)))
+            self._wake(int(b["at"].min()))
         yield from ()
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Pandas:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = sum(r[0] <= passed for r in rows)
-        no, n, y, last = self.open.get() if self.open.exists() else (0, 0, 0, None)
-        before, out = last, []
-        for at, _, v in [*rows[:ready], (passed, 0, None)]:  # the last is no line: it closes what has been idle until now
+    def _count(self, ready: list[tuple], state: tuple, passed: int) -> tuple[list[tuple], tuple]:
+        """Windows that the lines (at, y) of a key, in order, and idleness until now close; the state after them."""
+        (no, n, y, last), out = state, []
+        for at, v in [*ready, (passed, None)]:  # the last is no line: it closes what has been idle until now
             if last is not None and at >= last + self.idle_ms:
                 out += [(no, n, y)] if n else []
                 no, n, y, last = 0, 0, 0, None
@@ -56,19 +67,34 @@ class _FixedCount(StatefulProcessor):
             if n == self.size:
                 out.append((no, n, y))
                 no, n, y = no + 1, 0, 0
-        if ready:
-            self.waiting.put(rows[ready:]) if rows[ready:] else self.waiting.clear()
-        if rows[ready:]:
-            self.handle.registerTimer(rows[ready][0])
-        if before is not None and before != last and before + self.idle_ms > passed:
-            self.handle.deleteTimer(before + self.idle_ms)
-        if last is None:
-            self.open.clear()
-        else:
-            self.open.update((no, n, y, last))
-            self.handle.registerTimer(last + self.idle_ms)
+        return out, (no, n, y, last)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Pandas:
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready: dict[Any, list[tuple]] = {}
+        later = []
+        for r in sorted(map(tuple, self.waiting.get()) if self.waiting.exists() else (), key=lambda r: r[1:]):
+            if r[1] <= passed:
+                ready.setdefault(r[0], []).append((r[1], r[3]))
+            else:
+                later.append(r)
+        held = {r[0]: tuple(r)[1:] for r in self.open.get()} if self.open.exists() else {}
+        out = []
+        for k in [*held, *(k for k in ready if k not in held)]:
+            found, state = self._count(ready.get(k, []), held.get(k, (0, 0, 0, None)), passed)
+            out += [(k, *w) for w in found]
+            held[k] = state
+        held = {k: v for k, v in held.items() if v[3] is not None}
+        for state, rows in ((self.waiting, later), (self.open, [(k, *v) for k, v in held.items()])):
+            state.put(rows) if rows else state.clear()
+        self.due.clear()
+        ahead = [later[0][1]] if later else []
+        ahead += [v[3] + self.idle_ms for v in held.values()]
+        if ahead:
+            self._wake(min(ahead))
         if out:
-            yield pd.DataFrame(out, columns=["window_no", "n", "y"])
+            keys, *rest = zip(*out, strict=True)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), **dict(zip(("window_no", "n", "y"), rest, strict=True))})
 
 
 def fixed_count(lines: DataFrame, size: int, key: str, idle: str = "30 days") -> DataFrame:
@@ -83,9 +109,11 @@ def fixed_count(lines: DataFrame, size: int, key: str, idle: str = "30 days") ->
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = lines.schema[key].dataType.simpleString()
     y, line = F.coalesce(F.col("y").cast("int"), F.lit(0)), F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
-    held = lines.where("ts IS NOT NULL").select(key, "ts", F.unix_millis("ts").alias("at"), line.alias("id"), y.alias("y")).groupBy(key)
-    processor = _Keyed(_FixedCount(size, int(pd.Timedelta(idle).total_seconds() * 1000)), key)
-    return held.transformWithStateInPandas(processor, f"`{key}` {kind}, window_no long, n long, y int", "Append", "EventTime")
+    group = F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS))
+    held = lines.where("ts IS NOT NULL").select(group.alias("group"), F.col(key).cast("string").alias("key"), "ts", F.unix_millis("ts").alias("at"), line.alias("id"), y.alias("y")).groupBy("group")
+    processor = _FixedCount(size, int(pd.Timedelta(idle).total_seconds() * 1000))
+    found = held.transformWithStateInPandas(processor, "key string, window_no long, n long, y int", "Append", "EventTime")
+    return found.select(F.col("key").cast(kind).alias(key), "window_no", "n", "y")
 
 
 class _Templates(StatefulProcessor):
@@ -138,27 +166,6 @@ class _Templates(StatefulProcessor):
         yield from ()
 
 
-class _Keyed(StatefulProcessor):
-    """Puts the key's column before what a processor returns."""
-
-    def __init__(self, inner: StatefulProcessor, key: str) -> None:
-        self.inner, self.key = inner, key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.inner.init(handle)
-
-    def _named(self, key: Any, out: Pandas) -> Pandas:
-        for b in out:
-            b.insert(0, self.key, pd.Series([key[0]] * len(b), dtype=object if key[0] is None else None, index=b.index))
-            yield b
-
-    def handleInputRows(self, key: Any, rows: Pandas, timerValues: Any) -> Pandas:
-        return self._named(key, self.inner.handleInputRows(key, rows, timerValues))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Pandas:
-        return self._named(key, self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo))
-
-
 def online_templates(lines: DataFrame, similarity: float = 0.5, idle: str = "30 days") -> DataFrame:
     """(line_id, cluster, template): each line with the template that it joined, as it is after the batch of the line; templates
     only grow more general, so that a cluster's last line has its last template.
