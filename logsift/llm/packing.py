@@ -2,8 +2,8 @@
 
 The lengths' histogram (at most ``capacity`` rows, however large the corpus) goes to the driver. There a configuration
 linear program is solved by multiplicative weights: a knapsack dynamic program prices the best configuration of lengths
-under the present weights, which fall for lengths as they are covered. The fractions are rounded down; what is left is
-packed best fit, longest first, on the histogram too. Tokenizing, ranking and placing the pieces run on the executors.
+under the present weights, which fall for lengths as they are covered, until all are. The fractions are rounded down; what is left
+is packed best fit, longest first, into the room of these sequences and into new ones, on the histogram too. Tokenizing, ranking and placing the pieces run on the executors.
 """
 
 from __future__ import annotations
@@ -199,46 +199,63 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
     return arrow_map(docs, run, schema)
 
 
-def _price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths (index: copies) that fits: unbounded knapsack by dynamic programming."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for w in range(int(lengths[0]), capacity + 1):
-        got = best[w - lengths[: upto[w]]] + values[: upto[w]]
-        k = int(got.argmax())
-        if got[k] > best[w - 1]:
-            best[w], choice[w] = got[k], k
-        else:
-            best[w] = best[w - 1]
-    out: dict[int, int] = {}
-    w = capacity
-    while w >= lengths[0]:
-        if choice[w] < 0:
-            w -= 1
-            continue
-        out[int(choice[w])] = out.get(int(choice[w]), 0) + 1
-        w -= int(lengths[choice[w]])
-    return out
+#: How far below the best price a configuration may be, and the part of a length's copies that a step covers at most.
+SLACK, STEP = 0.02, 0.5
+#: Room that a configuration may leave to be rounded down; those that leave more are rounded to 0, since best fit can do better.
+ROOM = 0
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(sequences, [(length, copies), ...]) whose copies add up to counts; lengths ascend, all from 1 to capacity."""
-    left, out = counts.astype(np.int64).copy(), []
-    if len(lengths) and rounds:
-        covered, chosen = np.zeros(len(lengths)), {}
-        for _ in range(rounds):
-            config = _price(lengths, lengths * np.exp(-3 * covered), capacity)
+def _prices(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The value of the best multiset of lengths for each room: unbounded knapsack by dynamic programming."""
+    best = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for w in range(int(lengths[0]), capacity + 1):
+        best[w] = max(best[w - 1], (best[w - lengths[: upto[w]]] + values[: upto[w]]).max())
+    return best
+
+
+def _filled(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, seed: int, worst: float, covered: np.ndarray) -> dict[int, int]:
+    """A multiset (index: copies) with the length ``seed``, of lengths still to be covered, worth ``worst`` at least; the least
+    covered ones that the prices allow come first. Empty, if none is found."""
+    out, w, got = {seed: 1}, len(best) - 1 - int(lengths[seed]), float(values[seed])
+    while n := int(np.searchsorted(lengths, w, "right")):
+        able = np.flatnonzero((got + values[:n] + best[w - lengths[:n]] >= worst) & (covered[:n] < 1) & (values[:n] > 0))
+        if not len(able):
+            break
+        k = int(able[covered[able] == covered[able].min()][-1])
+        out[k] = out.get(k, 0) + 1
+        w, got = w - int(lengths[k]), got + float(values[k])
+    return out if got >= worst else {}
+
+
+def fractions(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
+    """The configuration linear program, by multiplicative weights: how many sequences of each configuration ((index, copies), ...)
+    cover all lengths. A length's weight falls with its cover and is 0 when that is whole. In a round one knapsack table
+    prices a configuration around each length; those of about the best price are taken, until every length is covered."""
+    covered, chosen = np.zeros(len(lengths)), {}
+    for _ in range(rounds):
+        values = np.where(covered < 1, lengths * np.exp(-3 * covered), 0.0)
+        if not values.any():
+            break
+        best = _prices(lengths, values, capacity)
+        worst = (1 - SLACK) * float(best[-1])
+        near = np.flatnonzero((values > 0) & (values + best[capacity - lengths] >= worst))
+        for i in near[np.lexsort((-lengths[near], covered[near]))].tolist():
+            config = _filled(lengths, values, best, i, worst, covered) if covered[i] < 1 else {}
+            if not config:
+                continue
             k, a = np.array(list(config)), np.array(list(config.values()))
-            step = 0.5 * float((counts[k] / a).min())
+            step = float((np.minimum(STEP, 1 - covered[k]) * counts[k] / a).min())
             covered[k] += a * step / counts[k]
+            covered[k[covered[k] > 1 - 1e-9]] = 1.0
             key = tuple(sorted(config.items()))
             chosen[key] = chosen.get(key, 0.0) + step
-        scale = max(1.0, float(covered.max()) * (1 + 1e-9))
-        for config, x in chosen.items():
-            if n := int(x / scale):
-                out.append((n, [(int(lengths[k]), a) for k, a in config]))
-                for k, a in config:
-                    left[k] -= n * a
+    return chosen
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(sequences, [(length, copies), ...]) whose copies add up to counts; lengths ascend, all from 1 to capacity."""
+    left = counts.astype(np.int64).copy()
     bins: list[list[tuple[int, tuple]]] = [[] for _ in range(capacity + 1)]  # by room left: (sequences, contents)
     open_at = np.zeros(capacity + 1, bool)
 
@@ -247,6 +264,15 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
             bins[room].append((n, contents))
             open_at[room] = True
 
+    for config, x in fractions(lengths, counts, capacity, rounds).items() if len(lengths) else ():
+        room = capacity - sum(int(lengths[k]) * a for k, a in config)
+        if room > ROOM:
+            continue
+        n = min(int(x + 1e-6), *[int(left[k]) // a for k, a in config])
+        put(room, n, tuple((int(lengths[k]), a) for k, a in config))
+        for k, a in config:
+            left[k] -= n * a
+
     for n, length in zip(left[::-1].tolist(), lengths[::-1].tolist(), strict=True):
         while n:
             room = length + int(open_at[length:].argmax())
@@ -265,7 +291,7 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
                 n, have = 0, have - 1
             if contents:
                 put(room, have, contents)
-    return out + [(n, list(contents)) for at in bins for n, contents in at]
+    return [(n, list(contents)) for at in bins for n, contents in at]
 
 
 def pack(

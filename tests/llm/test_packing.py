@@ -76,3 +76,17 @@ def test_blocks_without_new_words():
     data, at = np.frombuffer(b"the cat the", np.uint8), np.array([0, 11])
     first, again = encode(data, at), encode(data, at)
     assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist() == [3]
+
+
+def test_weights_cover_every_length_at_a_price_near_the_least():
+    """The linear program is solved, not only begun: best fit gets what rounding leaves, not nearly all."""
+    from logsift.llm.packing import fractions
+
+    lengths, counts = np.unique(np.clip(np.random.default_rng(1).lognormal(6, 1, 100_000).astype(int), 1, 4096), return_counts=True)
+    covered, chosen = np.zeros(len(lengths)), fractions(lengths, counts, 4096, 100)
+    for config, x in chosen.items():
+        assert sum(int(lengths[k]) * a for k, a in config) <= 4096
+        for k, a in config:
+            covered[k] += a * x
+    assert np.allclose(covered, counts)
+    assert sum(chosen.values()) <= 1.005 * (lengths * counts).sum() / 4096
