@@ -53,13 +53,24 @@ def word_grams(data: np.ndarray, offsets: np.ndarray, most: int = 2) -> tuple[np
     return np.concatenate([g for g, _ in got]), np.concatenate([t for _, t in got])
 
 
-def counted(grams: np.ndarray, texts: np.ndarray, rows: int, size: int) -> np.ndarray:
-    """Counts of hashed grams, a row of size buckets for each text, scaled to unit length (all zero: left so)."""
+def tally(grams: np.ndarray, texts: np.ndarray, rows: int, size: int) -> np.ndarray:
+    """Counts of hashed grams, a row of size buckets for each text."""
     bucket = (grams >> np.uint64(20)).astype(np.int64) % size
-    x = np.bincount(texts * size + bucket, minlength=rows * size).reshape(rows, size).astype(np.float32)
+    return np.bincount(texts * size + bucket, minlength=rows * size).reshape(rows, size)
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Roots of counts, scaled to rows of unit length (all zero: left so)."""
+    x = counts.astype(np.float32)
     np.sqrt(x, out=x)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.where(norm == 0, 1, norm)
+    x /= np.where(norm == 0, 1, norm)
+    return x
+
+
+def counted(grams: np.ndarray, texts: np.ndarray, rows: int, size: int) -> np.ndarray:
+    """Counts of hashed grams, a row of size buckets for each text, scaled to unit length (all zero: left so)."""
+    return unit(tally(grams, texts, rows, size))
 
 
 def hashed_share(id_: Column, share: Column | float, salt: str) -> Column:

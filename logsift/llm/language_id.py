@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import arrow_map, release
-from logsift.llm.features import LETTERS, blocks, byte_grams, counted, hashed_share, logistic, margins, vectors
+from logsift.llm.features import LETTERS, blocks, byte_grams, hashed_share, logistic, margins, tally, unit, vectors
 
 UNDETERMINED = "und"
 
@@ -51,8 +51,12 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> np.ndarray:
-    grams = [byte_grams(LETTERS[data], offsets, n) for n in (1, 2, 3)]
-    return counted(np.concatenate([g for g, _ in grams]), np.concatenate([t for _, t in grams]), len(offsets) - 1, buckets)
+    """Grams of each length are counted before the next are made, so that only one length's are held."""
+    letters, rows = LETTERS[data], len(offsets) - 1
+    counts = np.zeros((rows, buckets), np.int64)
+    for n in (1, 2, 3):
+        counts += tally(*byte_grams(letters, offsets, n), rows, buckets)
+    return unit(counts)
 
 
 def learn(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -122,6 +126,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 names += [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, some, strict=True)]
                 scores.append(np.where(some, score, 0.0))
                 doubts.append(doubt | ~some)
+                release()
             more = [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(doubts) if doubts else [], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names_out)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.common import materialize, pieces, same_bytes, text_bytes, arrow_map, word_hash, word_spans
+from logsift.llm.common import materialize, pieces, release, same_bytes, text_bytes, arrow_map, word_hash, word_spans
 
 #: Bytes of text tokenized at a time.
 BLOCK = 1 << 19
@@ -55,6 +55,27 @@ def by_words(definition: str) -> bool:
     )
 
 
+class _Grown:
+    """An array that is appended to. Room doubles where it ends: an array joined anew for each block of text left holes of
+    its size behind, which took as much memory as all words."""
+
+    def __init__(self, first: list, kind: type) -> None:
+        self.held, self.n = np.array(first, kind), len(first)
+
+    def add(self, more: np.ndarray) -> None:
+        upto = self.n + len(more)
+        if upto > len(self.held):
+            grown = np.empty(max(upto, 2 * len(self.held)), self.held.dtype)
+            grown[: self.n] = self.now
+            self.held = grown
+        self.held[self.n : upto] = more
+        self.n = upto
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class _Encoder:
     """Token ids of whole texts. With a tokenizer that by_words() accepts, a text's ids are those of its words; these are
     found by a 64-bit hash, compared by their bytes, and each is tokenized once by a worker. Where hashes of different
@@ -73,8 +94,8 @@ class _Encoder:
         self.known, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and their words' numbers
         self.fresh: dict[int, int] = {}
         self.parts: dict[str, list[int]] = {}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.text, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the words' bytes
+        self.ids, self.starts = _Grown([], np.uint32), _Grown([0], np.int64)
+        self.text, self.at = _Grown([], np.uint8), _Grown([0], np.int64)  # the words' bytes
 
     @classmethod
     def of(cls, definition: str, worded: bool) -> _Encoder:
@@ -104,8 +125,8 @@ class _Encoder:
                     ids = ids + got if ids else got
             out += ids
             n.append(len(ids))
-        self.ids = np.concatenate([self.ids, np.array(out, np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(n, np.int64))])
+        self.ids.add(np.array(out, np.uint32))
+        self.starts.add(self.starts.now[-1] + np.cumsum(np.array(n, np.int64)))
 
     def _plainly(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -132,18 +153,18 @@ class _Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         hashes, first, which = np.unique(word_hash(data, starts, ends), return_index=True, return_inverse=True)
         a, b = starts[first], ends[first]
-        if len(self.starts) > MEMO_WORDS:
+        if self.starts.n > MEMO_WORDS:
             self.forget()
         index = self._numbers(hashes)
         old, new = np.flatnonzero(index >= 0), np.flatnonzero(index < 0)
-        known = same_bytes(data, a[old], b[old], self.text, self.at[index[old]], self.at[index[old] + 1])
+        known = same_bytes(data, a[old], b[old], self.text.now, self.at.now[index[old]], self.at.now[index[old] + 1])
         if not known or not same_bytes(data, starts, ends, data, a[which], b[which]):
             return self._plainly(data, offsets)
-        raw, number = data.tobytes(), len(self.starts) - 1
+        raw, number = data.tobytes(), self.starts.n - 1
         words = [raw[x:y] for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)]
         self._learn([w.decode() for w in words])
-        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(b[new] - a[new])])
+        self.text.add(np.frombuffer(b"".join(words), np.uint8))
+        self.at.add(self.at.now[-1] + np.cumsum(b[new] - a[new]))
         index[new] = np.arange(number, number + len(new))
         self.fresh.update(zip(hashes[new].tolist(), index[new].tolist(), strict=True))
         if len(self.fresh) > MEMO_FRESH:
@@ -152,9 +173,10 @@ class _Encoder:
             self.index = np.concatenate([self.index, np.fromiter(self.fresh.values(), np.int32, len(self.fresh))])[order]
             self.known, self.fresh = known[order], {}
         index = index[which]
-        at, n = self.starts[index], self.starts[index + 1] - self.starts[index]
+        starts = self.starts.now
+        at, n = starts[index], starts[index + 1] - starts[index]
         upto = np.cumsum(n)
-        ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(upto[-1])]
+        ids = self.ids.now[np.repeat(at - (upto - n), n) + np.arange(upto[-1])]
         return ids, np.bincount(texts, n, len(offsets) - 1).astype(np.int64)
 
 
@@ -195,6 +217,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
                     [batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part] * len(length), pa.int32()), pa.array(nth, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
+                release()  # arrays of many sizes come and go; what they leave would add up to the size of the memory of words
 
     return arrow_map(docs, run, schema)
 

@@ -70,3 +70,20 @@ def test_many_languages(make):
     model = li.learn(make([(i, text(lang), lang) for i, lang in enumerate(list(words) * 30)]).withColumnRenamed("doc_id", "id"))
     got = li.identify(make([(i, text(lang), None) for i, lang in enumerate(list(words) * 10)]), model).collect()
     assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 9}" for r in got]) > 0.95
+
+
+def test_features_of_a_block_hold_grams_of_one_length_at_a_time():
+    import tracemalloc
+
+    from logsift.llm.features import BLOCK, LETTERS, byte_grams, counted
+    from logsift.llm.language_id import _features
+
+    data = np.random.default_rng(3).integers(32, 123, BLOCK).astype(np.uint8)
+    offsets = np.linspace(0, BLOCK, 257).astype(np.int64)
+    tracemalloc.start()
+    got = _features(data, offsets, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    grams = [byte_grams(LETTERS[data], offsets, n) for n in (1, 2, 3)]
+    assert np.array_equal(got, counted(np.concatenate([g for g, _ in grams]), np.concatenate([t for _, t in grams]), 256, 4096))

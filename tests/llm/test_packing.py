@@ -90,3 +90,18 @@ def test_weights_cover_every_length_at_a_price_near_the_least():
             covered[k] += a * x
     assert np.allclose(covered, counts)
     assert sum(chosen.values()) <= 1.005 * (lengths * counts).sum() / 4096
+
+
+def test_known_words_stay_in_place_as_others_are_learned():
+    """Arrays of all words are not made anew for each block: their holes took as much memory as they did."""
+    from pathlib import Path
+
+    from logsift.llm.packing import _Encoder
+
+    encode, own = _Encoder(Path(tokenizer_file()).read_text()), []
+    for k in range(64):
+        words = " ".join(f"word{k}x{i}" for i in range(50))
+        ids, _ = encode(np.frombuffer(words.encode(), np.uint8), np.array([0, len(words)]))
+        assert ids.tolist() == encode.tokenizer.encode(words, add_special_tokens=False).ids
+        own.append((id(encode.starts.held), id(encode.ids.held), id(encode.text.held), id(encode.at.held)))
+    assert all(len({o[c] for o in own}) < 16 for c in range(4)) and encode.starts.n == 64 * 50 + 1
