@@ -55,3 +55,29 @@ def test_a_round_sends_the_driver_parameters_only(spark, monkeypatch):
     small = training.fit_networks(rows, [setup], shard=50)[0][0]
     for other in (again, small):
         assert all((a == b).all() for x, y in zip(first.layers, other.layers, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_packed_shards_hold_the_same_vectors_in_the_same_order(spark):
+    """What each round of training reads is a few rows of bytes for a shard, not a row for each vector."""
+    import numpy as np
+
+    from logsift.operators import training
+
+    rows = spark.range(400).selectExpr("id AS seq_id", "id % 2 AS fold", "array(id / 3e0, -id * 1e0, 0.1e0) AS x")
+    plain = training.deal(rows, "x", "fold", "seq_id", 50).rows.toArrow()
+    found = training.deal(rows, "x", "fold", "seq_id", 50, pack=True).rows.toArrow()
+    want = {(g, s): (training.matrix(t), t["held"].to_numpy()) for g, s, t in training.in_shards(iter(plain.to_batches()))}
+    got = {(g, s): training.unpacked(t) for g, s, t in training.in_shards(iter(found.to_batches()))}
+    assert len(found) == len(got) == 8 and got.keys() == want.keys()
+    for k, (m, held) in want.items():
+        assert np.array_equal(got[k][0], m) and np.array_equal(got[k][1], held)
+
+
+def test_features_are_made_by_all_cores_however_small_the_file(spark):
+    from logsift.operators import evaluation
+    from logsift.session import materialize
+
+    rows = materialize(spark.range(1000).selectExpr("id AS seq_id", "1 AS fold", "array('a', 'b') AS events").coalesce(1))
+    dealt = evaluation.spread(rows)
+    assert rows.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["seq_id"] for r in dealt.collect()) == list(range(1000))
