@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.llm.common import broadcast_if_small, discard, materialize
@@ -14,7 +14,7 @@ from logsift.llm.components import connected_components, near_labels
 #: Characters of a shingle, and bytes of each: lines are encoded in UTF-32, where the i-th character is found at once.
 LENGTH, WIDE = 9, 4
 #: Shingles of a row where signatures are made: rows and lookups of their lines cost more than the shingles.
-STEP = 8
+STEP = 32
 #: White space around a line that does not count.
 BLANKS = " \t\r\f\x0b"
 #: Least intersection per union, in percent. A pair at the limit would share a band with probability 1 - (1 - 0.8**ROWS)**BANDS,
@@ -22,6 +22,8 @@ BLANKS = " \t\r\f\x0b"
 PERCENT, BANDS, ROWS = 80, 8, 3
 #: Rounds in which the members of a bucket are compared with one of them, before pairs are sought by rare shingles.
 ROUNDS = 3
+#: Bits of a shingle's hash that name it among open lines, below its frequency; more frequent ones than fit count as equally frequent.
+NAME_BITS = 48
 #: Documents whose lists of dropped lines are broadcast.
 LIST_ROWS = 200_000
 #: A permutation of hashes for each coordinate: exclusive or with a random number.
@@ -71,11 +73,13 @@ def _signed(lines: DataFrame) -> DataFrame:
 
 
 def _verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of line names whose full shingle sets reach the limit. Texts are shuffled, not their larger sets;
-    pairs whose sets differ too much in size to reach it need no comparison."""
+    """Those pairs (a, b) of line names whose full shingle sets reach the limit. Texts are shuffled, not their larger sets,
+    and of the second lines, few beside the first ones, only those that pairs name; pairs whose sets differ too much in size to reach it need no comparison."""
     asked = materialize(asked.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = asked.join(sets.select(F.col("l1").alias("a"), F.col("n").alias("na"), F.col("norm").alias("ta")), "a")
-    both = both.join(sets.select(F.col("l1").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")), "b")
+    pairs = broadcast_if_small(asked)
+    firsts = sets.select(F.col("l1").alias("a"), F.col("n").alias("na"), F.col("norm").alias("ta"))
+    seconds = sets.select(F.col("l1").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")).join(pairs.select("b"), "b", "left_semi")
+    both = firsts.join(pairs, "a").join(seconds, "b")
     both = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     common = F.size(F.array_intersect(dense(F.col("ta")), dense(F.col("tb"))))
     out = materialize(both.where((100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"))
@@ -84,14 +88,17 @@ def _verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """open_ with n, the size of a line's set, core, how many of it others have too, and rare, its rarest of those.
-    Two lines whose sets reach the limit have one of these in common: fewer than the rest could not hold what they share."""
+    """open_ with n, the size of a line's set, core, how many of it others have too, and rare, its rarest of those, as
+    numbers in the order of their frequency. Two lines whose sets reach the limit have one of these in common: fewer than the
+    rest could not hold what they share. Shingles of one number only make more pairs be compared."""
     held = sets.join(broadcast_if_small(open_).select("l1"), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(dense(F.col("norm")))).alias("g"))
     many = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))  # a line's shingles
+    often = F.shiftleft(F.least("df", F.lit((1 << (63 - NAME_BITS)) - 1)), NAME_BITS)
+    number = often.bitwiseOR(F.col("g").bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
+    ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.sort_array(F.collect_list(number)).alias("r"))  # a line's shingles
     own = F.col("n") - F.col("core")
     first = F.slice("r", 1, F.greatest(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - own, F.lit(0)).cast("int"))
-    return open_.join(ranked.select("l1", "n", "core", F.transform(first, lambda x: x["g"]).alias("rare")), "l1")
+    return open_.join(ranked.select("l1", "n", "core", first.alias("rare")), "l1")
 
 
 def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -142,19 +149,23 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
         discard(before, each, main, rest)
     if not open_.table_rows:
         return links
-    open_ = materialize(open_.select("l1", "c").distinct())
-    open_ = materialize(_rarest(open_, sets)).select("l1", "c", "n", "core", "rare", F.posexplode("rare").alias("pos", "key"))
-    main = open_.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("components"))
-    main = broadcast_if_small(materialize(main.where("components > 1").drop("components")))
-    open_ = materialize(open_.join(main, "key"))
-    a, b = open_.where("c <> main").alias("a"), open_.alias("b")
-    earlier = F.when(F.col("a.pos") > 0, F.size(F.array_intersect(F.slice("a.rare", 1, F.col("a.pos")), F.col("b.rare"))) > 0).otherwise(False)
+    names = materialize(open_.select("l1", "c").distinct())
+    ranked = materialize(_rarest(names, sets))
+    keyed = ranked.select("l1", "c", "n", "core", F.posexplode("rare").alias("pos", "key"))
+    main = keyed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("components"))
+    main = materialize(main.where("components > 1").drop("components"))
+    # rarer shingles that lines of other components have too; what a line has alone, no pair shares
+    rarer = F.collect_list("key").over(Window.partitionBy("l1").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # a line's shingles
+    rows = materialize(keyed.join(broadcast_if_small(main), "key").withColumn("rarer", rarer))
+    a, b = rows.where("c <> main").alias("a"), rows.alias("b")
     # in the order of their frequency, two sets share nothing before the first shingle that they share
     most = F.least(F.col("a.core") - F.col("a.pos"), F.col("b.core") - F.col("b.pos"))
     once = (F.col("b.c") == F.col("b.main")) | (F.col("a.l1") < F.col("b.l1"))
     apart = once & (F.col("a.c") != F.col("b.c")) & (100 * most >= PERCENT * (F.col("a.n") + F.col("b.n") - most))
-    asked = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & ~earlier).select(F.col("a.l1").alias("a"), F.col("b.l1").alias("b"))
-    return links.unionByName(_verified(asked, sets))
+    asked = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & ~F.arrays_overlap("a.rarer", "b.rarer")).select(F.col("a.l1").alias("a"), F.col("b.l1").alias("b"))
+    more = _verified(asked, sets)
+    discard(open_, names, ranked, main, rows, sets)
+    return links.unionByName(more)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +183,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = _lines(texts)
     spots = materialize(lines.select("l1", "l2", F.col("id").isNull().alias("no"), "id", "uid", "pos"))
 
-    labels = broadcast_if_small(materialize(connected_components(_links(materialize(_signed(lines)), lines))).withColumnRenamed("node", "l1"))
+    signed = materialize(_signed(lines))
+    labels = materialize(connected_components(_links(signed, lines)))
+    discard(signed)
+    labels = broadcast_if_small(labels).withColumnRenamed("node", "l1")
     place = F.struct("no", "id", "uid", "pos")
     first = spots.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(labels, "l1", "left")
     first = materialize(first.where("n > 1 OR component IS NOT NULL"))

@@ -1,6 +1,7 @@
 """Line dedup as op2_line_dedup and the pipeline run it: shingles at every character, against their own brute force."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -54,3 +55,21 @@ def test_inserted_characters_and_lines_without_blanks(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got if r["text"]) == want
     piped = corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in piped if r["text"]) == want
+
+
+def test_rare_shingles_are_numbers_in_the_order_of_their_frequency(spark):
+    rng = random.Random(5)
+    base = [unspaced(rng, 120) for _ in range(4)]
+    lines = [*base, *(x[:60] + unspaced(rng, 6) + x[60:] for x in base), *(base[k][:100] + base[0][:20] for k in range(4))]
+    sets = spark.createDataFrame([(k, len(grams(x)), x) for k, x in enumerate(lines)], "l1 long, n int, norm string")
+    names = spark.createDataFrame([(k, k) for k in range(len(lines))], "l1 long, c long")
+    got = {r["l1"]: r["rare"] for r in line_dedup._rarest(line_dedup.materialize(names), sets).collect()}
+    often = Counter(g for x in lines for g in grams(x))
+    for k, rare in got.items():
+        frequencies = sorted(often[g] for g in grams(lines[k]) if often[g] > 1)
+        assert rare == sorted(rare)
+        assert [x >> line_dedup.NAME_BITS for x in rare] == frequencies[: len(rare)]
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if 100 * len(grams(a) & grams(b)) >= 80 * len(grams(a) | grams(b)):
+                assert set(got[i]) & set(got[j])
