@@ -25,8 +25,9 @@ from logsift.llm.common import materialize, pieces, release, same_bytes, text_by
 #: Bytes of text tokenized at a time.
 BLOCK = 1 << 19
 #: Words, and lower-case parts of them, whose tokens a worker remembers (about 50 and 400 bytes each), and how many of
-#: the words wait in a dictionary until they are sorted in.
-MEMO_WORDS, MEMO_PARTS, MEMO_FRESH = 1_000_000, 100_000, 50_000
+#: the words wait in a dictionary until they are sorted in. Two workers stand beside a JVM that fills its heap; a million words
+#: took 65 MB more of each.
+MEMO_WORDS, MEMO_PARTS, MEMO_FRESH = 250_000, 50_000, 25_000
 #: What a tokenizer has to be so that its ids of a text are those of the text's words: fixed values of its definition.
 NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

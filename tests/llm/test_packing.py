@@ -105,3 +105,19 @@ def test_known_words_stay_in_place_as_others_are_learned():
         assert ids.tolist() == encode.tokenizer.encode(words, add_special_tokens=False).ids
         own.append((id(encode.starts.held), id(encode.ids.held), id(encode.text.held), id(encode.at.held)))
     assert all(len({o[c] for o in own}) < 16 for c in range(4)) and encode.starts.n == 64 * 50 + 1
+
+
+def test_a_worker_remembers_a_bounded_number_of_words():
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from logsift.llm.common import text_bytes
+    from logsift.llm.packing import _Encoder
+
+    encode, first = _Encoder(Path(tokenizer_file()).read_text()), None
+    for k in [*range(7), 0]:
+        ids, n = encode(*text_bytes(pa.array([" ".join(f"w{k * 50_000 + i}" for i in range(50_000))])))
+        assert encode.starts.n <= 300_001
+        first = (ids, n) if first is None else first
+    assert np.array_equal(ids, first[0]) and np.array_equal(n, first[1])
