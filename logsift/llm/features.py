@@ -91,13 +91,18 @@ def vectors(docs: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.ndarray
     kind = docs.schema[label].dataType.simpleString()
     rows = arrow_map(docs.select("text", label), run, f"x binary, y {kind}").toArrow()
     order = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True), key=lambda r: (r[0], str(r[1])))
-    x = np.frombuffer(b"".join(r[0] for r in order), np.float16)
-    return x.reshape(len(order), -1) if order else np.zeros((0, 1), np.float16), [r[1] for r in order]
+    del rows
+    x, y = np.zeros((len(order), len(order[0][0]) // 2 if order else 1), np.float16), [r[1] for r in order]
+    for k in range(len(order)):  # a row goes as it is copied, so that the sample is not held twice
+        x[k], order[k] = np.frombuffer(order[k][0], np.float16), None
+    return x, y
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
     """Weights (features + 1, outputs) of logistic regressions for y in {-1, 1} (rows, outputs), by Adam on all rows."""
-    x = np.concatenate([x.astype(np.float32), np.ones((len(x), 1), np.float32)], 1)
+    held = np.ones((len(x), x.shape[1] + 1), np.float32)  # the only wide copy
+    held[:, :-1] = x
+    x = held
     w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = (weight / weight.sum(0)).astype(np.float32)
@@ -111,3 +116,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 120,
 
 def margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
+
+
+def margins_of_sample(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """margins() of half-width rows, widened some at a time."""
+    return np.concatenate([margins(x[k : k + BLOCK_ROWS].astype(np.float32), w) for k in range(0, max(1, len(x)), BLOCK_ROWS)])

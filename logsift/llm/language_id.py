@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import arrow_map, release
-from logsift.llm.features import LETTERS, blocks, byte_grams, hashed_share, logistic, margins, tally, unit, vectors
+from logsift.llm.features import LETTERS, blocks, byte_grams, hashed_share, logistic, margins, margins_of_sample, tally, unit, vectors
 
 UNDETERMINED = "und"
 
@@ -75,7 +75,7 @@ def learn(docs: DataFrame, settings: Settings | None = None) -> Model:
     target = codes[place]
     weight = (1 / np.bincount(place, minlength=len(languages)).clip(1))[place][:, None] * np.ones_like(target)
     w = logistic(x, target, weight)
-    right = (np.sign(margins(x.astype(np.float32), w)) == target).mean(0)
+    right = (np.sign(margins_of_sample(x, w)) == target).mean(0)
     del x
     release()
     return Model(languages, codes, w, np.clip(2 * right - 1, 0.01, 1), s)

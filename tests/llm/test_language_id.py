@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from logsift.llm import features
 from logsift.llm import language_id as li
 
 WORDS = {"en": "the and of with house time", "fr": "le que été même où château", "de": "und nicht für über straße zeit", "xx": "zq qz zzq qqz zqz qzq"}
@@ -87,3 +89,15 @@ def test_features_of_a_block_hold_grams_of_one_length_at_a_time():
     assert peak < 60e6
     grams = [byte_grams(LETTERS[data], offsets, n) for n in (1, 2, 3)]
     assert np.array_equal(got, counted(np.concatenate([g for g, _ in grams]), np.concatenate([t for _, t in grams]), 256, 4096))
+
+
+def test_fit_holds_one_wide_copy_of_the_sample():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((3000, 1024)).astype(np.float16), np.where(rng.random((3000, 3)) < 0.5, -1, 1)
+    tracemalloc.start()
+    w = features.logistic(x, y, np.ones_like(y, float), steps=2)
+    features.margins_of_sample(x, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * x.size * 4
+    assert np.allclose(features.margins_of_sample(x, w), features.margins(x.astype(np.float32), w), atol=1e-4)
