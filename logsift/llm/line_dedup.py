@@ -23,7 +23,12 @@ PERCENT, BANDS, ROWS = 80, 8, 3
 #: Rounds in which the members of a bucket are compared with one of them, before pairs are sought by rare shingles.
 ROUNDS = 3
 #: Bits of a shingle's hash that name it among open lines, below its frequency; more frequent ones than fit count as equally frequent.
-NAME_BITS = 48
+#: Every byte of a name is shuffled for each shingle of each open line.
+NAME_BITS = 40
+#: First bits of least hashes that are shuffled: equal hashes stay equal, others that meet only make more lines be compared.
+SIGNED_BITS = 24
+#: Rarer shingles of a line that go with each of its rare ones, so that a pair is mostly asked for once; all of them took most of that shuffle.
+RARER = 4
 #: Documents whose lists of dropped lines are broadcast.
 LIST_ROWS = 200_000
 #: A permutation of hashes for each coordinate: exclusive or with a random number.
@@ -66,8 +71,9 @@ def _signed(lines: DataFrame) -> DataFrame:
     rows = lines.select("l1", "l2", _encoded(F.col("norm")).alias("e"))
     rows = rows.select("l1", "l2", "e", F.greatest(F.length("e") - (LENGTH * WIDE - 1), F.lit(1)).alias("z"))
     rows = rows.select("l1", "l2", "e", "z", F.explode(F.sequence(F.lit(1), F.col("z"), F.lit(WIDE * STEP))).alias("i"))
-    rows = rows.select("l1", "l2", *[_shingle(F.col("e"), F.least(F.col("i") + WIDE * j, F.col("z"))).alias(f"h{j}") for j in range(STEP)])
-    mixed = [F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]) for c in PERMUTED]
+    cut = 64 - SIGNED_BITS
+    rows = rows.select("l1", "l2", *[F.shiftright(_shingle(F.col("e"), F.least(F.col("i") + WIDE * j, F.col("z"))), cut).alias(f"h{j}") for j in range(STEP)])
+    mixed = [F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c >> cut)) for j in range(STEP)]) for c in PERMUTED]
     least = rows.groupBy("l1", "l2").agg(*[F.min(m).alias(f"m{k}") for k, m in enumerate(mixed)])
     return least.select("l1", F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)]).alias("keys"))
 
@@ -92,25 +98,40 @@ def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     numbers in the order of their frequency. Two lines whose sets reach the limit have one of these in common: fewer than the
     rest could not hold what they share. Shingles of one number only make more pairs be compared."""
     held = sets.join(broadcast_if_small(open_).select("l1"), "l1", "left_semi").select("l1", "n", F.explode(F.array_distinct(dense(F.col("norm")))).alias("g"))
+    held = held.withColumn("g", F.col("g").bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
     many = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     often = F.shiftleft(F.least("df", F.lit((1 << (63 - NAME_BITS)) - 1)), NAME_BITS)
-    number = often.bitwiseOR(F.col("g").bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
-    ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.sort_array(F.collect_list(number)).alias("r"))  # a line's shingles
+    ranked = held.join(many, "g").groupBy("l1", "n").agg(F.count("*").alias("core"), F.sort_array(F.collect_list(often.bitwiseOR(F.col("g")))).alias("r"))  # a line's shingles
     own = F.col("n") - F.col("core")
     first = F.slice("r", 1, F.greatest(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - own, F.lit(0)).cast("int"))
     return open_.join(ranked.select("l1", "n", "core", first.alias("rare")), "l1")
 
 
+def _asked(ranked: DataFrame) -> DataFrame:
+    """(l1, c, n, core, pos, key, main, rarer): the rare shingles of ranked lines that lines of several components have, a row each, with
+    the largest of these components, and the first RARER of the line's own such shingles that are rarer still. A table to be discarded."""
+    keyed = ranked.select("l1", "c", "n", "core", F.posexplode("rare").alias("pos", "key"))
+    main = keyed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("components"))
+    main = materialize(main.where("components > 1").drop("components"))
+    line = Window.partitionBy("l1").orderBy("pos")  # a line's shingles
+    first = F.when(F.row_number().over(line) <= RARER, F.col("key"))
+    rows = keyed.join(broadcast_if_small(main), "key").withColumn("first", first)
+    out = materialize(rows.withColumn("rarer", F.collect_list("first").over(line.rowsBetween(Window.unboundedPreceding, -1))).drop("first"))
+    discard(main)
+    return out
+
+
 def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
     """Verified links between different lines. Each bucket's lines are compared with the one of them that meets most lines
     in all its buckets: of a line and its edited copies that is the line itself. Where that leaves several components, those
     outside the largest are compared with its first, and all of other components with the first of the rest, for some rounds; a
     line that was compared with all others of a bucket leaves it.
     Of the lines in buckets which still hold several, those that share a rare shingle are compared: each one outside the largest component that has the shingle with all of other components that
-    can reach the limit at all, in the first shingle that they share."""
+    can reach the limit at all, in the first shingle that they share and now and then in a later one. signed is discarded when it was read."""
     keyed = signed.select("l1", F.explode("keys").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = materialize(keyed.join(broadcast_if_small(shared), "key"))
+    discard(signed)
     met = materialize(members.groupBy("l1").agg(F.sum("m").alias("met")))
     members = materialize(members.select("key", "l1").join(broadcast_if_small(met), "l1"))
     found = lines.select("l1", "l2", "norm").join(broadcast_if_small(met).select("l1"), "l1", "left_semi")
@@ -151,12 +172,7 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
         return links
     names = materialize(open_.select("l1", "c").distinct())
     ranked = materialize(_rarest(names, sets))
-    keyed = ranked.select("l1", "c", "n", "core", F.posexplode("rare").alias("pos", "key"))
-    main = keyed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("components"))
-    main = materialize(main.where("components > 1").drop("components"))
-    # rarer shingles that lines of other components have too; what a line has alone, no pair shares
-    rarer = F.collect_list("key").over(Window.partitionBy("l1").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # a line's shingles
-    rows = materialize(keyed.join(broadcast_if_small(main), "key").withColumn("rarer", rarer))
+    rows = _asked(ranked)
     a, b = rows.where("c <> main").alias("a"), rows.alias("b")
     # in the order of their frequency, two sets share nothing before the first shingle that they share
     most = F.least(F.col("a.core") - F.col("a.pos"), F.col("b.core") - F.col("b.pos"))
@@ -164,7 +180,7 @@ def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
     apart = once & (F.col("a.c") != F.col("b.c")) & (100 * most >= PERCENT * (F.col("a.n") + F.col("b.n") - most))
     asked = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & ~F.arrays_overlap("a.rarer", "b.rarer")).select(F.col("a.l1").alias("a"), F.col("b.l1").alias("b"))
     more = _verified(asked, sets)
-    discard(open_, names, ranked, main, rows, sets)
+    discard(open_, names, ranked, rows, sets)
     return links.unionByName(more)
 
 
@@ -185,7 +201,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     signed = materialize(_signed(lines))
     labels = materialize(connected_components(_links(signed, lines)))
-    discard(signed)
     labels = broadcast_if_small(labels).withColumnRenamed("node", "l1")
     place = F.struct("no", "id", "uid", "pos")
     first = spots.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(labels, "l1", "left")
