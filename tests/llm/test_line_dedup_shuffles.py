@@ -1,6 +1,10 @@
 """What op2_line_dedup shuffles: cut hashes and short lists, which lose no pair."""
 
+import os
 import random
+import time
+
+import corpus_pipeline
 
 from logsift.llm import line_dedup
 
@@ -52,3 +56,17 @@ def test_short_lists_of_rarer_shingles_keep_every_near_pair(spark):
     assert len(pairs) > 10
     for i, j in pairs:
         assert any(not held[i][key] & held[j][key] for key in held[i].keys() & held[j].keys())
+
+
+def test_a_stage_of_the_pipeline_leaves_next_to_no_shuffle_files(make, spark):
+    top = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: {f"{d}/{f}" for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    size = lambda names: sum(os.path.getsize(f) for f in names if os.path.exists(f))
+    rng = random.Random(23)
+    docs = make([(i, "".join(rng.choice("abcdefghijklmnop") for _ in range(100))) for i in range(3000)])
+    before = files()
+    line_dedup.materialize(corpus_pipeline.drop_lines(spark, docs, ""))
+    until = time.time() + 20
+    while size(files() - before) > 50_000 and time.time() < until:  # executors remove them a little later
+        time.sleep(0.2)
+    assert size(files() - before) <= 50_000  # least hashes of these lines alone take 200,000
